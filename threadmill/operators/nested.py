@@ -3,17 +3,14 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadmill.functions.json import decoded, elements, is_object
 from threadmill.operators.lines import held_lines
 from threadmill.session import cut
 
 
-def _is_object(v: Column) -> Column:
-    return F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
-
-
 def _elements(v: Column) -> Column:
     """The elements of an array; an object counts as an array of one; else null."""
-    return F.when(_is_object(v), F.array(v)).otherwise(F.try_variant_get(v, "$", "array<variant>"))
+    return F.when(is_object(v), F.array(v)).otherwise(elements(v))
 
 
 def _children(block: Column) -> Column:
@@ -29,9 +26,7 @@ def merged_schema(df: DataFrame, value: str, share: float = 1e-4) -> list[tuple[
     """
     rows = df.select(F.col(value).alias("v")).where(F.col("v").isNotNull())
     total = rows.count()
-    fields = rows.select(F.explode(F.map_keys(F.expr("try_variant_get(v, '$', 'map<string,variant>')"))).alias("k"), "v")
     kinds = rows.select(F.posexplode(F.map_entries(F.expr("try_variant_get(v, '$', 'map<string,variant>')"))).alias("i", "e")).select(F.col("e.key").alias("k"), F.regexp_extract(F.schema_of_variant(F.col("e.value")), "^[A-Z]+", 0).alias("t"))
-    del fields
     per = kinds.groupBy("k").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(F.col("t") != "VOID", F.col("t")))).alias("t")).where(F.col("n") >= F.lit(total * share))
     names = {("BIGINT",): "bigint", ("STRING",): "string", ("BOOLEAN",): "boolean"}
     return [(r.k, names.get(tuple(r.t), "variant")) for r in per.orderBy(F.desc("n"), "k").collect()]
@@ -47,12 +42,12 @@ def blocks_of_lines(lines: DataFrame, keep: bool = True) -> DataFrame:
     blocks give no rows; elements that are no objects keep their position.
     """
     held = held_lines(lines.select("path", "byte_start", "byte_len", "line", "seen_at"))
-    entry = held.select("path", "byte_start", F.try_variant_get(F.try_parse_json("line"), "$.message.content", "variant").alias("c"))
+    entry = held.select("path", "byte_start", F.try_variant_get(decoded("line"), "$.message.content", "variant").alias("c"))
     level = entry.select("path", "byte_start", F.lit("").alias("parent_path"), F.posexplode(_elements(F.col("c"))).alias("ordinal", "block"))
     out, depth = None, 0
     while True:
         path = F.concat_ws(".", F.nullif("parent_path", F.lit("")), F.col("ordinal").cast("string"))
-        level = level.where(_is_object(F.col("block"))).select("path", "byte_start", path.alias("block_path"), "parent_path", F.lit(depth).alias("depth"), "ordinal", "block")
+        level = level.where(is_object(F.col("block"))).select("path", "byte_start", path.alias("block_path"), "parent_path", F.lit(depth).alias("depth"), "ordinal", "block")
         level = cut(level)
         if depth and level.isEmpty():
             break
@@ -71,12 +66,12 @@ def flat_tables(lines: DataFrame) -> dict[str, DataFrame]:
     columns carry the prefix ``f_`` and so never clash with the keys.
     """
     held = held_lines(lines.select("path", "byte_start", "byte_len", "line", "seen_at"))
-    entries = held.select("path", "byte_start", F.xxhash64("path", "byte_start", F.lit("")).alias("entry_key"), F.try_parse_json("line").alias("value")).where(_is_object(F.col("value")))
+    entries = held.select("path", "byte_start", F.xxhash64("path", "byte_start", F.lit("")).alias("entry_key"), decoded("line").alias("value")).where(is_object(F.col("value")))
     blocks = blocks_of_lines(lines).withColumnRenamed("block", "value")
     return {"entries": _widened(entries), "blocks": _widened(blocks)}
 
 
 def _widened(df: DataFrame) -> DataFrame:
-    fields = [(k, t) for k, t in merged_schema(df, "value") if t != "variant"]
+    fields = list({k.lower(): (k, t) for k, t in reversed(merged_schema(df, "value")) if t != "variant"}.values())
     path = lambda k: "$['" + k.replace("\\", "\\\\").replace("'", "\\'") + "']"
     return df.withColumns({f"f_{k}": F.try_variant_get("value", path(k), t) for k, t in fields}) if fields else df
