@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from threadmill.llm import conversations, splitting, tokens
+from threadmill.llm import conversations, sentences, splitting, tokens
 from threadmill.session import table
 
 
@@ -19,7 +19,12 @@ def p8_ids(spark, folder):
     return tokens.encode(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids}
+def p10_found(spark, folder):
+    documents = table(spark, folder, "documents")
+    return sentences.found(documents.where("form = 'prose'"), sentences.learn(documents))
+
+
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p10_found": p10_found}
 
 ORACLES = {
     "p4_found": """
