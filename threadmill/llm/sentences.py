@@ -289,10 +289,9 @@ def _cuts(p: str, lang: str, model: Model) -> list[int]:
         quoted = bracketed = at_start = False
         if span is not None:
             close = span[1]
-            if p[b:close].strip(" \xa0 " + "".join(_CLOSERS)):
+            if _CLOSING.match(p, b).end() < close:
                 continue  # inside a quotation
-            first = len(p[start:]) - len(p[start:].lstrip())
-            at_start = span[0] == start + first
+            at_start = span[0] == _FIRST.match(p, start).end()
             bracketed = p[span[0]] in _BRACKETS
             quoted = not bracketed
             end = close + 1
