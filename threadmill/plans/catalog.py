@@ -4,4 +4,4 @@ from threadmill.plans import general
 
 QUERIES = {**general.QUERIES}
 ORACLES = {**general.ORACLES}
-FLAGSHIP = "hybrid_search"
+FLAGSHIP = "p2_found"

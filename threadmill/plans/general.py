@@ -1,6 +1,6 @@
-"""Queries of the general data problems (1 and 7)."""
+"""Queries of the general data problems (1, 2 and 7)."""
 
-from threadmill.operators import incremental, nested
+from threadmill.operators import incremental, nested, ranking
 from threadmill.session import table
 
 
@@ -8,11 +8,15 @@ def p1_found(spark, folder):
     return incremental.unprocessed_lines(table(spark, folder, "transcript_lines"), table(spark, folder, "index_state"))
 
 
+def p2_found(spark, folder):
+    return ranking.leading(table(spark, folder, "search_results")).select("query_id", "doc_id")
+
+
 def p7_found(spark, folder):
     return nested.blocks_of_lines(table(spark, folder, "transcript_lines"), keep=False).select("path", "byte_start", "block_path", "parent_path")
 
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p7_found": p7_found}
 
 ORACLES = {
     "p1_found": """
@@ -30,6 +34,20 @@ saves AS (
     FROM index_state WHERE status = 'ok' AND path IS NOT NULL) WHERE n = 1)
 SELECT h.path, h.byte_start FROM held h LEFT JOIN saves s ON h.path = s.path
 WHERE NOT coalesce(h.byte_start + coalesce(h.byte_len, 0) <= s.off AND h.first_seen <= s.saved_at, false)""",
+    "p2_found": """
+WITH held AS (
+  SELECT query_id, doc_id, CASE WHEN leg IS DISTINCT FROM 'keyword' AND NOT isnan(distance) THEN distance END AS d,
+    CASE WHEN leg IS DISTINCT FROM 'vector' AND NOT isnan(bm25) THEN bm25 END AS b, TRY_CAST(timestamp AS TIMESTAMPTZ) AS t
+  FROM search_results WHERE query_id IS NOT NULL AND doc_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY logged_at DESC NULLS LAST, leg DESC NULLS LAST, distance DESC NULLS LAST, bm25 DESC NULLS LAST, timestamp DESC NULLS LAST) = 1),
+placed AS (
+  SELECT query_id, doc_id,
+    (SELECT count(*) FILTER (o.d < h.d OR o.d IS NOT NULL AND h.d IS NULL) - count(*) FILTER (o.d > h.d OR o.d IS NULL AND h.d IS NOT NULL)
+      + count(*) FILTER (o.b < h.b OR o.b IS NOT NULL AND h.b IS NULL) - count(*) FILTER (o.b > h.b OR o.b IS NULL AND h.b IS NOT NULL)
+      + count(*) FILTER (o.t > h.t OR o.t IS NOT NULL AND h.t IS NULL) - count(*) FILTER (o.t < h.t OR o.t IS NULL AND h.t IS NOT NULL)
+      FROM held o WHERE o.query_id = h.query_id) AS lost
+  FROM held h)
+SELECT query_id, doc_id FROM placed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY lost, doc_id) <= 3""",
     "p7_found": """
 WITH RECURSIVE held AS (
   SELECT path, byte_start, line FROM (
