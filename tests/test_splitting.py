@@ -1,0 +1,32 @@
+import pytest
+
+from threadmill.llm.splitting import LIMIT, oversized, split
+
+
+def _checked(text, limit=LIMIT):
+    found = split(text, limit)
+    assert all(b - a <= limit for a, b, _ in found)
+    assert found[0][0] == 0 and found[-1][1] == len(text)
+    assert all(a < c <= b < d for (a, b, _), (c, d, _) in zip(found, found[1:]))
+    return found
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "x" * 8000 + " " + "y" * 300,
+        "x" * 7999 + "\n\n" + "y" * 300,
+        "x" * 7000 + " " * 1500 + "y" * 300,
+        "x" * 8000 + " " * 5000 + "y" * 300,
+        "x" * 8000 + "。" + "y" * 300,
+        "a b " + "x" * 7999 + "  " + "y" * 8000 + " " + "z" * 8000 + " ",
+    ],
+)
+def test_run_whose_white_space_passes_the_limit_is_cut_soft(text):
+    assert not any(hard for _, _, hard in _checked(text))
+
+
+def test_such_a_run_does_not_hide_a_hard_cut(spark):
+    tight = "x" * 8000 + " " + "y" * 300
+    df = spark.createDataFrame([("soft", tight), ("hard", tight + " " + "z" * 8001), ("short", "a")], "doc_id string, content string")
+    assert {tuple(r) for r in oversized(df, "doc_id", "content").collect()} == {("soft", "soft"), ("hard", "hard")}

@@ -23,7 +23,7 @@ _BREAK = re.compile(r"\s+|[。！？]+")
 def boundaries(text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions at which a piece may end, ascending, and their penalties; the end of the text costs nothing.
 
-    Natural ones come after white space or 。！？. Only in runs without any that exceed the limit are there hard ones.
+    Natural ones come after white space or 。！？, and before it where it takes the run past the limit. Only in runs without any that exceed the limit are there hard ones.
     """
     at, cost, long_runs, last = [], [], [], 0
     near = set()
@@ -35,7 +35,8 @@ def boundaries(text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.ndar
             near.update((len(at) - 1, len(at)))
         if a - last > limit:
             long_runs.append((last, a))
-        for p in range(a + 1, b) if b - a > limit // 2 else ():  # a long stretch of white space may be cut anywhere
+        tight = b - last > limit  # the stretch's end is out of reach from the boundary before, so its start counts too
+        for p in range(a + (not tight), b) if b - a > limit // 2 else range(a, a + tight):  # a long stretch of white space may be cut anywhere
             at.append(p)
             cost.append(c)
         at.append(b)
@@ -88,6 +89,8 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
                 k = int(cost.argmin())
                 if cost[k] + penalty[j] < best[j]:
                     best[j], came[j], bare[j] = cost[k] + penalty[j], first + k, extra > 0
+    if not np.isfinite(best[-1]):
+        raise RuntimeError(f"no sequence of pieces of at most {limit} characters reaches the end of a text of {n}")
     out, j = [], len(ends) - 1
     while j >= 0:
         i = came[j]
