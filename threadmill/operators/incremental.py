@@ -2,7 +2,8 @@
 
 Processed sequence numbers are kept per source key as disjoint intervals ``[seq_from, seq_to)``. A run takes
 the available items, subtracts the intervals, processes what is left (also items that were committed late
-into a gap) and commits the merged intervals together with its output.
+into a gap) and commits the merged intervals together with its output. Items that can change at their place carry
+a version; a place is done only for the versions that were processed.
 """
 
 import json
@@ -12,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from threadmill.operators.lines import held_lines
+
 BLOCK = 1 << 22
 
 
@@ -107,6 +110,12 @@ def unprocessed_lines(lines: DataFrame, index_state: DataFrame) -> DataFrame:
     return found.select(F.col("source").alias("path"), F.col("seq").alias("byte_start"))
 
 
+def versioned_lines(lines: DataFrame) -> DataFrame:
+    """The lines that hold as items of a Ledger: source (path), seq (byte_start), version (hash of the text) and all other columns."""
+    held = held_lines(lines).withColumn("version", F.sha2(F.coalesce("line", F.lit("\0null")), 256))
+    return held.withColumnsRenamed({"path": "source", "byte_start": "seq"})
+
+
 class Ledger:
     """Runs and their intervals in one folder; a run exists once its manifest does.
 
@@ -140,19 +149,37 @@ class Ledger:
             return self.spark.createDataFrame([], "source string, seq_from bigint, seq_to bigint")
         return self.spark.read.parquet(f"{self.folder}/{runs[-1]['name']}/intervals")
 
+    def places(self) -> DataFrame:
+        """(source, seq, version) of every item that was processed; version is null where items had none."""
+        runs, schema = self._manifests(), "source string, seq bigint, version string"
+        if not runs:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{r['name']}/input" for r in runs])
+
+    def _todo(self, items: DataFrame, before: DataFrame) -> DataFrame:
+        if "version" not in items.columns:
+            return subtract_intervals(items, before)
+        done = self.places()
+        same = [items["source"] == done["source"], items["seq"] == done["seq"], items["version"].eqNullSafe(done["version"])]
+        return items.join(done, same, "left_anti").dropDuplicates(["source", "seq", "version"])
+
     def output(self) -> DataFrame | None:
         runs = [f"{self.folder}/{r['name']}/output" for r in self._manifests()]
         return self.spark.read.parquet(*runs) if runs else None
 
     def run(self, items: DataFrame, process: Callable[[DataFrame], DataFrame]) -> str:
-        """items: (source, seq, seq_end, ...). Items are read once: what is committed is what was processed."""
+        """items: (source, seq[, version string], ...). Items are read once: what is committed is what was processed.
+
+        An item with a version is processed unless that version of its place was; so a changed text opens its
+        place again. Only the sequence numbers of processed items are committed, none that lie between them.
+        """
         runs = self._manifests()
         name, before = f"run-{len(runs):09d}-{uuid.uuid4().hex[:12]}", self.processed()
         at = f"{self.folder}/{name}"
-        subtract_intervals(items, before).write.parquet(f"{at}/input")  # frozen: a second read could see more
+        self._todo(items, before).write.parquet(f"{at}/input")  # frozen: a second read could see more
         todo = self.spark.read.parquet(f"{at}/input")
         process(todo).write.parquet(f"{at}/output")
-        new = todo.select("source", F.col("seq").alias("seq_from"), F.greatest("seq_end", F.col("seq") + 1).alias("seq_to"))
+        new = todo.select("source", F.col("seq").alias("seq_from"), (F.col("seq") + 1).alias("seq_to"))
         merge_intervals(before.unionByName(new)).write.parquet(f"{at}/intervals")
         self._fs.mkdirs(self._path(f"{self.folder}/_runs"))
         draft, final = self._path(f"{at}/manifest"), self._path(f"{self.folder}/_runs/{len(runs):09d}")
