@@ -1,0 +1,21 @@
+from threadmill.llm.sentences import found, learn
+
+SCHEMA = "doc_id bigint, text string, lang string"
+
+
+def test_rare_but_significant_entries_are_kept(spark):
+    text = "See the zorb. 10 of them are in the list."
+    filler = [(10 + i, "And. " * 270_000, "en") for i in range(8)]  # two events of the word are less than a millionth of these
+    df = spark.createDataFrame([(0, text, "en"), (1, text.replace("10", "11"), "en"), *filler], SCHEMA)
+    model = learn(df)
+    assert ("en", "zorb") in model.before_numbers
+    assert [(r.sent_start, r.sent_end) for r in found(df.where("doc_id = 0"), model).collect()] == [(0, len(text))]
+
+
+def test_joined_entries_give_the_same_sentences(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    whole, few = learn(df), learn(df, most=20)
+    assert whole.rare is None and few.rare is not None
+    assert sum(map(len, few.sets().values())) <= 20 < sum(map(len, whole.sets().values()))
+    rows = lambda model: sorted(tuple(r) for r in found(df.unionByName(df.limit(3)), model).collect())
+    assert rows(few) == rows(whole)

@@ -19,8 +19,8 @@ from threadmill.session import cut
 
 #: Ratios above these count as significant (chi-squared, one degree of freedom, p = 0.005).
 SIGNIFICANT = 7.88
-#: Entries rarer than this share of a language's events are not kept, so at most its inverse are ever broadcast per table and language.
-SHARE = 1e-6
+#: So many entries of the model are broadcast at most, the most frequent ones; the rest are joined to the texts that ask for them.
+BROADCAST = 300_000
 
 _SCRIPTS = [("th", 0x0E00, 0x0E7F), ("lo", 0x0E80, 0x0EFF), ("ja", 0x3040, 0x30FF), ("zh", 0x4E00, 0x9FFF), ("zh", 0x3400, 0x4DBF), ("ru", 0x0400, 0x052F), ("el", 0x0370, 0x03FF), ("el", 0x1F00, 0x1FFF), ("ar", 0x0600, 0x077F), ("hi", 0x0900, 0x097F), ("ko", 0xAC00, 0xD7AF), ("he", 0x0590, 0x05FF)]
 #: Frequent function words of languages in Latin script.
@@ -49,6 +49,7 @@ _CLOSING = re.compile("[ \xa0\u202f" + re.escape("".join(sorted(_CLOSERS))) + "]
 _FIRST = re.compile(r"\s*")
 _OPENING = re.compile("[" + re.escape(_LEAD) + "]*")
 _WORD = re.compile(r"\S+")
+_BLANKS = " \t\r\n\xa0 "
 
 
 def language(text: str, label: str | None) -> str:
@@ -150,6 +151,17 @@ class Model:
     before_numbers: set = field(default_factory=set)
     collocations: set = field(default_factory=set)
     ellipses: set = field(default_factory=set)
+    rare: DataFrame | None = None  # (role, lang, w, x) of the entries that are not in the sets
+
+    def sets(self) -> dict[str, set]:
+        return {role: getattr(self, role) for role in _ASKED}
+
+    def key(self, role: str, lang: str, w: str, x: str) -> tuple:
+        return (lang, w, x) if role in ("collocations", "ellipses") else (lang, w)
+
+
+#: What is asked for by which part of a candidate: the next word, the word before, both, or the letters around an ellipsis.
+_ASKED = {"starters": "x", "others": "x", "abbreviations": "w", "before_numbers": "w", "collocations": "wx", "ellipses": "dots"}
 
 
 def tally(df: DataFrame, text: str, lang: str) -> DataFrame:
@@ -168,11 +180,11 @@ def tally(df: DataFrame, text: str, lang: str) -> DataFrame:
     return slim.mapInArrow(run, "lang string, what string, w string, x string, n bigint").groupBy("lang", "what", "w", "x").agg(F.sum("n").alias("n"))
 
 
-def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
+def learn(df: DataFrame, text: str = "text", lang: str = "lang", most: int = BROADCAST) -> Model:
     """The model of all documents of ``df``; empty tables give an empty one.
 
-    Corpus statistics are joined and tested in the cluster. Only what is significant and has at least SHARE of
-    its language's events comes to the driver.
+    Corpus statistics are joined and tested in the cluster. Of what is significant, the ``most`` most frequent
+    entries at most come to the driver; the others stay a table, so every entry counts.
     """
     counts = cut(tally(df, text, lang))
     words = counts.where("what = 'word'").select("lang", F.col("w").alias("x"), F.col("n").alias("total"))
@@ -181,39 +193,41 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     both = words.join(starts, ["lang", "x"], "left").fillna(0, ["first"]).join(F.broadcast(sizes), "lang")  # a row per language
     ratio = F.col("first") / F.col("total")
     both = both.withColumn("llr", llr(F.col("first"), F.col("total"), F.col("all_start") - F.col("first"), F.col("all_word") - F.col("total")))
-    rare = F.col("total") < F.col("all_word") * SHARE
     role = F.when((F.col("first") >= 2) & (ratio >= 0.1) & (F.col("llr") > SIGNIFICANT), "starter").when((F.col("total") >= 5) & (ratio < 0.02), "other")
-    roles = both.withColumn("role", role).where(~rare & F.col("role").isNotNull()).select("lang", "x", "role")
+    roles = both.withColumn("role", role).where("role is not null").select("lang", "x", "role", "total")
 
     pairs = counts.where("what = 'pair'").select("lang", "w", F.substring_index("x", " ", 1).alias("kind"), F.expr("substring(x, instr(x, ' ') + 1)").alias("x"), "n")
-    pairs = pairs.join(roles, ["lang", "x"], "left")
+    pairs = pairs.join(roles.drop("total"), ["lang", "x"], "left")
     goes_on = (F.col("kind") == "num") | ((F.col("kind") == "low") & ~F.col("role").eqNullSafe("starter")) | F.col("role").eqNullSafe("other")
     per = pairs.groupBy("lang", "w").agg(F.sum("n").alias("n"), F.sum(F.when(goes_on, F.col("n")).otherwise(0)).alias("on"), F.sum(F.when(F.col("kind") == "num", F.col("n")).otherwise(0)).alias("num"))
     totals = per.groupBy("lang").agg(F.sum("n").alias("all_n"), F.sum("on").alias("all_on"), F.sum("num").alias("all_num"))
     per = per.join(F.broadcast(totals), "lang")
     per = per.withColumns({"llr": llr(F.col("on"), F.col("n"), F.col("all_on") - F.col("on"), F.col("all_n") - F.col("n")), "llr_num": llr(F.col("num"), F.col("n"), F.col("all_num") - F.col("num"), F.col("all_n") - F.col("n"))})
-    common = F.col("n") >= F.col("all_n") * SHARE
     short = (F.length("w") == 1) | F.contains("w", F.lit("."))
-    abbreviations = per.where(common & (F.col("w") != "##") & (F.col("w") != "#.#") & (F.col("on") / F.col("n") >= 0.5) & ((F.col("llr") > SIGNIFICANT) | short | (F.col("n") == F.col("on")) & (F.col("n") >= 2)))
-    numbers = per.where(common & (F.col("num") / F.col("n") >= 0.5) & ((F.col("llr_num") > SIGNIFICANT) | (F.col("n") == F.col("num")) & (F.col("n") >= 2)))
+    abbreviations = per.where((F.col("w") != "##") & (F.col("w") != "#.#") & (F.col("on") / F.col("n") >= 0.5) & ((F.col("llr") > SIGNIFICANT) | short | (F.col("n") == F.col("on")) & (F.col("n") >= 2)))
+    numbers = per.where((F.col("num") / F.col("n") >= 0.5) & ((F.col("llr_num") > SIGNIFICANT) | (F.col("n") == F.col("num")) & (F.col("n") >= 2)))
 
     follow = pairs.groupBy("lang", "x").agg(F.sum("n").alias("n_x"))
     joint = pairs.where("role = 'other'").groupBy("lang", "w", "x").agg(F.sum("n").alias("k")).join(per.select("lang", "w", "n", "all_n"), ["lang", "w"]).join(follow, ["lang", "x"])
-    collocations = joint.where((F.col("k") >= F.col("all_n") * SHARE) & (llr(F.col("k"), F.col("n"), F.col("n_x") - F.col("k"), F.col("all_n") - F.col("n")) > SIGNIFICANT))
+    collocations = joint.where(llr(F.col("k"), F.col("n"), F.col("n_x") - F.col("k"), F.col("all_n") - F.col("n")) > SIGNIFICANT)
 
     dots = counts.where("what = 'ellipsis'").select("lang", "w", "x", "n")
-    dots = dots.join(dots.groupBy("lang", "w").agg(F.sum("n").alias("n_w")), ["lang", "w"]).join(F.broadcast(sizes.select("lang", "all_ellipsis")), "lang")
-    ellipses = dots.where((F.col("n") >= 3) & (F.col("n") / F.col("n_w") >= 0.8) & (F.col("n") >= F.col("all_ellipsis") * SHARE))
-
-    take = lambda d, *c: {tuple(r) for r in d.select(*c).collect()}
-    return Model(
-        starters=take(roles.where("role = 'starter'"), "lang", "x"),
-        others=take(roles.where("role = 'other'").join(pairs.select("lang", "x").distinct(), ["lang", "x"], "left_semi"), "lang", "x"),
-        abbreviations=take(abbreviations, "lang", "w"),
-        before_numbers=take(numbers, "lang", "w"),
-        collocations=take(collocations, "lang", "w", "x"),
-        ellipses=take(ellipses, "lang", "w", "x"),
-    )
+    dots = dots.join(dots.groupBy("lang", "w").agg(F.sum("n").alias("n_w")), ["lang", "w"])
+    ellipses = dots.where((F.col("n") >= 3) & (F.col("n") / F.col("n_w") >= 0.8))
+
+    rows = lambda d, role, w, x, n: d.select(F.lit(role).alias("role"), "lang", F.col(w).alias("w"), (F.col(x) if x else F.lit("")).alias("x"), F.col(n).alias("n"))
+    others = roles.where("role = 'other'").join(pairs.select("lang", "x").distinct(), ["lang", "x"], "left_semi")
+    entries = rows(roles.where("role = 'starter'"), "starters", "x", None, "total").unionByName(rows(others, "others", "x", None, "total"))
+    for d, role, x, n in ((abbreviations, "abbreviations", None, "n"), (numbers, "before_numbers", None, "n"), (collocations, "collocations", "x", "k"), (ellipses, "ellipses", "x", "n")):
+        entries = entries.unionByName(rows(d, role, "w", x, n))
+    entries = cut(entries)
+    model, least = Model(), 0
+    if entries.count() > most:
+        least = 1 + entries.orderBy(F.desc("n")).limit(most + 1).agg(F.min("n")).first()[0]
+        model.rare = entries.where(F.col("n") < least).drop("n")
+    for r in entries.where(F.col("n") >= least).drop("n").toLocalIterator():
+        getattr(model, r.role).add(model.key(*r))
+    return model
 
 
 def quotations(p: str) -> list[tuple[int, int]]:
@@ -353,7 +367,7 @@ def _ends(p: str, start: int, a: int, b: int, end: int, run: str, lang: str, mod
         return True
     # a period
     head = p[:a]
-    word = head[max(head.rfind(c) for c in " \t\r\n\xa0 ") + 1 :]
+    word = head[max(head.rfind(c) for c in _BLANKS) + 1 :]
     w = before_period(word)
     if w == "##" and not p[start : a - len(word)].strip(_LEAD):
         return False  # the number of a list item opens its sentence
@@ -371,20 +385,64 @@ def _ends(p: str, start: int, a: int, b: int, end: int, run: str, lang: str, mod
     return not (w == "##" and other)
 
 
+def asked(text: str) -> set[tuple[str, str, str]]:
+    """(part, w, x) of every entry that sentences() can look up for a text, in whatever language."""
+    out = set()
+    at = 0
+    for stop in [*[m.span() for m in PARAGRAPH.finditer(text)], (len(text), len(text))]:
+        p = text[at : stop[0]]
+        at = stop[1]
+        for m in _TERMINAL.finditer(p):
+            a, b = m.span()
+            head = p[:a]
+            w = before_period(head[max(head.rfind(c) for c in _BLANKS) + 1 :])
+            out.add(("w", w, ""))
+            for end in range(b, min(_CLOSING.match(p, b).end(), len(p) - 1) + 1):
+                x = bare((_WORD.search(p, end) or [""])[0])
+                out |= {("x", x, ""), ("wx", w, x), ("dots", p[max(0, a - 2) : a], p[end : end + 2])}
+    return out
+
+
+def _rare_of_texts(texts: DataFrame, rare: DataFrame) -> DataFrame:
+    """(text_id, rare): the rare entries that each text asks for; texts are known by their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = list(asked(t))
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.string()), *[pa.array([f[i] for f in found], pa.string()) for i in range(3)]], ["text_id", "part", "w", "x"])
+
+    wanted = texts.where("t is not null").select("text_id", "t").mapInArrow(run, "text_id string, part string, w string, x string").distinct()
+    part = F.create_map(*[F.lit(v) for pair in _ASKED.items() for v in pair])[F.col("role")]
+    return wanted.join(rare.withColumn("part", part), ["part", "w", "x"]).groupBy("text_id").agg(F.collect_list(F.struct("role", "lang", "w", "x")).alias("rare"))
+
+
 def found(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(key, sent_start, sent_end) of every sentence; null, empty and blank texts have none, repeated rows give theirs again."""
 
+    known = Model(**model.sets())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, a, b = [], [], []
+            more = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
             for i, (t, label) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 if t and not t.isspace():
-                    for s, e in sentences(t, language(t, label), model):
+                    own = [(known.sets()[r["role"]], known.key(r["role"], r["lang"], r["w"], r["x"])) for r in more[i] or ()]
+                    for entries, k in own:
+                        entries.add(k)
+                    for s, e in sentences(t, language(t, label), known):
                         rows.append(i)
                         a.append(s)
                         b.append(e)
+                    for entries, k in own:
+                        entries.discard(k)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(a, pa.int64()), pa.array(b, pa.int64())], [key, "sent_start", "sent_end"])
 
     kind = df.schema[key].dataType.simpleString()
     label = F.col(lang).cast("string") if lang in df.columns else F.lit(None).cast("string")
-    return df.select(key, F.col(text).cast("string"), label.alias("__lang")).mapInArrow(run, f"`{key}` {kind}, sent_start bigint, sent_end bigint")
+    rows = df.select(F.col(key), F.col(text).cast("string").alias("t"), label.alias("__lang"))
+    if model.rare is not None:
+        rows = rows.withColumn("text_id", F.sha2("t", 256))
+        rows = rows.join(_rare_of_texts(rows, model.rare), "text_id", "left").select(key, "t", "__lang", "rare")
+    return rows.mapInArrow(run, f"`{key}` {kind}, sent_start bigint, sent_end bigint")
