@@ -18,18 +18,29 @@ def _children(block: Column) -> Column:
     return F.coalesce(_elements(own), _elements(F.try_variant_get(block, "$.source.content", "variant")))
 
 
-def merged_schema(df: DataFrame, value: str, share: float = 1e-4) -> list[tuple[str, str]]:
-    """The fields of an object column and the type their values have in common, most frequent first.
+_TYPES = {"BIGINT": "bigint", "STRING": "string", "BOOLEAN": "boolean"}
+_NUMBERS = {"BIGINT", "DECIMAL", "DOUBLE", "FLOAT"}
 
-    Only fields in at least ``share`` of the rows get a column of their own, so at most 1/share times the mean
-    number of fields come to the driver; all other fields stay reachable in the value itself.
+
+def merged_schema(df: DataFrame, value: str) -> list[tuple[tuple[str, ...], str, bool]]:
+    """(path, type, holds arrays of objects) of every field of an object column, through nested objects.
+
+    The type is what the values have in common: mixed numbers are double, other mixtures and arrays variant;
+    a field of objects only is 'object'. Each depth is one aggregation; one row per distinct path reaches the driver.
     """
-    rows = df.select(F.col(value).alias("v")).where(F.col("v").isNotNull())
-    total = rows.count()
-    kinds = rows.select(F.posexplode(F.map_entries(F.expr("try_variant_get(v, '$', 'map<string,variant>')"))).alias("i", "e")).select(F.col("e.key").alias("k"), F.regexp_extract(F.schema_of_variant(F.col("e.value")), "^[A-Z]+", 0).alias("t"))
-    per = kinds.groupBy("k").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(F.col("t") != "VOID", F.col("t")))).alias("t")).where(F.col("n") >= F.lit(total * share))
-    names = {("BIGINT",): "bigint", ("STRING",): "string", ("BOOLEAN",): "boolean"}
-    return [(r.k, names.get(tuple(r.t), "variant")) for r in per.orderBy(F.desc("n"), "k").collect()]
+    level, out = df.select(F.array().cast("array<string>").alias("p"), F.col(value).alias("v")).where(is_object(F.col("v"))), []
+    while True:
+        fields = level.select("p", F.explode(F.map_entries(F.expr("try_variant_get(v, '$', 'map<string,variant>')"))).alias("e")).select(F.concat("p", F.array("e.key")).alias("p"), F.col("e.value").alias("v"))
+        kinds = fields.withColumn("t", F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)).where("t <> 'VOID'")
+        listed = F.coalesce(F.exists(elements(F.col("v")), is_object), F.lit(False))
+        per = kinds.groupBy("p").agg(F.collect_set("t").alias("t"), F.max(listed).alias("listed"), F.count("*").alias("n")).collect()
+        for r in sorted(per, key=lambda r: (-r.n, r.p)):
+            t = set(r.t)
+            kind = "object" if t == {"OBJECT"} else _TYPES.get(*t, "variant") if len(t) == 1 and t <= _TYPES.keys() else "double" if t <= _NUMBERS else "variant"
+            out.append((tuple(r.p), kind, r.listed))
+        if not any("OBJECT" in r.t for r in per):
+            return out
+        level = fields.where(is_object(F.col("v")))
 
 
 def blocks_of_lines(lines: DataFrame, keep: bool = True) -> DataFrame:
@@ -60,18 +71,42 @@ def blocks_of_lines(lines: DataFrame, keep: bool = True) -> DataFrame:
 
 
 def flat_tables(lines: DataFrame) -> dict[str, DataFrame]:
-    """``entries`` and ``blocks``: one column per scalar field of the merged schema, the rest in ``value``.
+    """``entries``, ``blocks`` and a child table for every further array of objects: one column per field of the merged schema.
 
-    blocks.parent_key is the block_key of the enclosing block, or the entry_key of the entry at the top. Field
-    columns carry the prefix ``f_`` and so never clash with the keys.
+    blocks.parent_key is the block_key of the enclosing block, or the entry_key of the entry at the top. A child
+    table is called after its parent and the path of the array (``entries.message.usage.tiers``), with parent_key
+    (the parent's key), ordinal and row_key. Field columns carry the prefix ``f_`` and so never clash with the
+    keys; fields of nested objects are joined by dots. ``value`` keeps the whole object.
     """
     held = held_lines(lines.select("path", "byte_start", "byte_len", "line", "seen_at"))
     entries = held.select("path", "byte_start", F.xxhash64("path", "byte_start", F.lit("")).alias("entry_key"), decoded("line").alias("value")).where(is_object(F.col("value")))
     blocks = blocks_of_lines(lines).withColumnRenamed("block", "value")
-    return {"entries": _widened(entries), "blocks": _widened(blocks)}
-
-
-def _widened(df: DataFrame) -> DataFrame:
-    fields = list({k.lower(): (k, t) for k, t in reversed(merged_schema(df, "value")) if t != "variant"}.values())
-    path = lambda k: "$['" + k.replace("\\", "\\\\").replace("'", "\\'") + "']"
-    return df.withColumns({f"f_{k}": F.try_variant_get("value", path(k), t) for k, t in fields}) if fields else df
+    own = F.try_variant_get("value", "$.content", "variant")  # where it has elements, source.content holds no blocks
+    return _tables("entries", cut(entries), "entry_key", {("message", "content"): F.lit(False)}) | _tables("blocks", blocks, "block_key", {("content",): F.lit(False), ("source", "content"): _elements(own).isNotNull()})
+
+
+def _at(path: tuple[str, ...]) -> str:
+    return "$" + "".join("['" + k.replace("\\", "\\\\").replace("'", "\\'") + "']" for k in path)
+
+
+def _tables(name: str, df: DataFrame, key: str, blocks: dict[tuple, Column]) -> dict[str, DataFrame]:
+    """A table and its child tables; what lies at ``blocks`` is in the table of blocks already, except in the rows given there."""
+    columns, seen = {}, set()
+    schema = merged_schema(df, "value")
+    for path, kind, _ in schema:
+        column = "f_" + ".".join(path)
+        while column.lower() in seen:  # names that differ in case only, or by where the dots are
+            column += "_"
+        seen.add(column.lower())
+        if kind != "object":
+            columns[column] = F.try_variant_get("value", _at(path), kind)
+    out = {name: df.withColumns(columns) if columns else df}
+    for path, _, listed in schema:
+        if listed:
+            rest = next((c for b, c in blocks.items() if path[: len(b)] == b), F.lit(True))
+            child = df.where(rest).select("path", "byte_start", F.col(key).alias("parent_key"), F.posexplode(elements(F.try_variant_get("value", _at(path), "variant"))).alias("ordinal", "value")).where(is_object(F.col("value")))
+            child = child.withColumn("row_key", F.xxhash64("parent_key", F.lit(".".join(path)), "ordinal"))
+            child = cut(child)
+            if not child.isEmpty():
+                out |= _tables(f"{name}.{'.'.join(path)}", child, "row_key", {})
+    return out
