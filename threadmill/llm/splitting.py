@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 LIMIT, OVERLAP = 8000, 200
 #: Penalties of a cut: between paragraphs, lines, sentences, words; without overlap; inside a run.
 PARAGRAPH, LINE, SENTENCE, WORD, BARE, HARD = 0.0, 0.2, 0.5, 1.0, 20.0, 1e6
-#: Boundaries of like kind are thinned to one in so many characters; those next to long runs all stay.
-GRID = 64
 _BREAK = re.compile(r"\s+|[。！？]+")
 
 
@@ -26,13 +24,10 @@ def boundaries(text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.ndar
     Natural ones come after white space or 。！？, and before it where it takes the run past the limit. Only in runs without any that exceed the limit are there hard ones.
     """
     at, cost, long_runs, last = [], [], [], 0
-    near = set()
     for m in _BREAK.finditer(text):
         a, b = m.span()
         s = m.group()
         c = PARAGRAPH if s.count("\n") > 1 else LINE if "\n" in s else SENTENCE if s[0] in "。！？" or (a and text[a - 1] in ".!?。！？।؟…") else WORD
-        if a - last >= GRID:
-            near.update((len(at) - 1, len(at)))
         if a - last > limit:
             long_runs.append((last, a))
         tight = b - last > limit  # the stretch's end is out of reach from the boundary before, so its start counts too
@@ -42,20 +37,10 @@ def boundaries(text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.ndar
         at.append(b)
         cost.append(c)
         last = b
-    if len(text) - last >= GRID:
-        near.add(len(at) - 1)
     if len(text) - last > limit:
         long_runs.append((last, len(text)))
     pos, pen = np.array(at, np.int64), np.array(cost)
-    if len(pos):
-        cell = pos // GRID
-        rank = np.lexsort((-pos, pen, cell))
-        keep = np.zeros(len(pos), bool)
-        keep[rank[np.flatnonzero(np.r_[True, np.diff(cell[rank]) > 0])]] = True
-        keep[[i for i in near if 0 <= i < len(pos)]] = True
-        pos, pen = pos[keep], pen[keep]
-    step = max(1, (limit - overlap) // 8)
-    hard = np.array([p for a, b in long_runs for p in range(a + step, b, step)], np.int64)
+    hard = np.concatenate([np.arange(a + 1, b) for a, b in long_runs]) if long_runs else np.array([], np.int64)
     pos, pen = np.r_[pos, hard], np.r_[pen, np.full(len(hard), HARD)]
     inside = (pos > 0) & (pos < len(text))
     pos, first = np.unique(pos[inside], return_index=True)
@@ -68,13 +53,15 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
     if n <= limit:
         return [(0, n, False)]
     ends, penalty = boundaries(text, limit, overlap)
-    back = np.searchsorted(ends, ends - overlap * 5 // 4)  # the start of the next piece: the boundary nearest to the wanted one
-    starts = np.empty(len(ends), np.int64)
-    for i, e in enumerate(ends):
-        near = ends[back[i] : i]
-        want = e - overlap
-        starts[i] = near[np.abs(near - want).argmin()] if len(near) and np.abs(near - want).min() <= overlap // 4 else max(want, 0)
+    want = np.maximum(ends - overlap, 0)  # the start of the next piece: the boundary nearest to the wanted one
+    after = np.searchsorted(ends, want)
+    before = ends[np.maximum(after - 1, 0)]
+    after = ends[after]
+    starts = np.where(np.abs(before - want) <= np.abs(after - want), before, after)
+    starts = np.where((np.abs(starts - want) <= overlap // 4) & (starts < ends), starts, want)
     starts = np.maximum.accumulate(starts)
+    room, bare_room = starts / limit, ends / limit
+    los, bare_los = np.searchsorted(starts, ends - limit), np.searchsorted(ends, ends - limit)
     best = np.full(len(ends), np.inf)
     came = np.full(len(ends), -1, np.int64)
     bare = np.zeros(len(ends), bool)
@@ -82,13 +69,14 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
         if e <= limit:
             best[j] = penalty[j] + ((limit - e) / limit) ** 2
             continue
-        lo, lo_bare = np.searchsorted(starts[:j], e - limit), np.searchsorted(ends[:j], e - limit)
-        for first, from_, extra in ((lo, starts, 0.0), (lo_bare, ends, BARE)):
-            if first < j:
-                cost = best[first:j] + extra + ((limit - (e - from_[first:j])) / limit) ** 2
+        for first, from_, extra in ((los[j], room, 0.0), (bare_los[j], bare_room, BARE)):
+            if first < j and best[first:j].min() + extra + penalty[j] < best[j]:  # else no unused room is small enough
+                cost = from_[first:j] + (1 - e / limit)
+                cost *= cost
+                cost += best[first:j]
                 k = int(cost.argmin())
-                if cost[k] + penalty[j] < best[j]:
-                    best[j], came[j], bare[j] = cost[k] + penalty[j], first + k, extra > 0
+                if cost[k] + extra + penalty[j] < best[j]:
+                    best[j], came[j], bare[j] = cost[k] + extra + penalty[j], first + k, extra > 0
     if not np.isfinite(best[-1]):
         raise RuntimeError(f"no sequence of pieces of at most {limit} characters reaches the end of a text of {n}")
     out, j = [], len(ends) - 1
