@@ -2,10 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from threadmill.llm import conversations, sentences, splitting, tokens
+from threadmill.llm import conversations, markup, sentences, splitting, tokens
 from threadmill.session import table
 
 
+def p3_found(spark, folder):
+    return markup.marked(table(spark, folder, "turns"), "doc_id", "content")
+
+
 def p4_found(spark, folder):
     messages = conversations.transcript_messages(table(spark, folder, "transcript_lines"))
     return conversations.verdicts(messages).where("dropped").select(F.col("conversation").alias("session_id"))
@@ -24,7 +28,7 @@ def p10_found(spark, folder):
     return sentences.found(documents.where("form = 'prose'"), sentences.learn(documents))
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p10_found": p10_found}
 
 ORACLES = {
     "p4_found": """
