@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from threadmill.llm import conversations, markup, sentences, splitting, tokens
+from threadmill.llm import conversations, markup, personal, sentences, splitting, tokens
 from threadmill.session import table
 
 
@@ -19,6 +19,10 @@ def p5_found(spark, folder):
     return splitting.oversized(table(spark, folder, "turns").select("doc_id", "content"), "doc_id", "content")
 
 
+def p6_found(spark, folder):
+    return personal.personal(table(spark, folder, "turns"), "doc_id", "content", table(spark, folder, "known_names")).select("doc_id", "kind", "found")
+
+
 def p8_ids(spark, folder):
     return tokens.encode(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -28,7 +32,7 @@ def p10_found(spark, folder):
     return sentences.found(documents.where("form = 'prose'"), sentences.learn(documents))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p10_found": p10_found}
 
 ORACLES = {
     "p4_found": """
