@@ -1,11 +1,14 @@
 import random
 from collections import defaultdict
+from datetime import datetime
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as contract
-from threadmill.operators.ranking import leading
+from threadmill.operators import ranking
+from threadmill.operators.ranking import leading, ranked
 from threadmill.plans import catalog
 
 SCHEMA = "query_id bigint, doc_id string, distance double, bm25 double, timestamp string, leg string, logged_at timestamp"
@@ -60,3 +63,54 @@ def test_against_brute_force_and_sql(spark, seed, tmp_path):
     db = duckdb.connect()
     db.execute(f"SET TimeZone = 'UTC'; CREATE VIEW search_results AS SELECT * FROM '{at}/*.parquet'")
     assert sorted(db.execute(contract.oracle_sql()["p2_found"]).fetchall()) == found
+
+
+def _dense(rows):
+    """The chain of each query as a matrix."""
+    per = defaultdict(dict)
+    for q, doc, d, b, t, leg, _ in rows:
+        per[q][doc] = [float("inf") if leg == "keyword" else d, float("inf") if leg == "vector" else b, float("inf") if not t else -datetime.fromisoformat(t).timestamp()]
+    out = {}
+    for q, docs in per.items():
+        names, x = sorted(docs), np.array([docs[k] for k in sorted(docs)])
+        go = sum((x[None, :, k] < x[:, None, k]) + 0.5 * (x[None, :, k] == x[:, None, k]) for k in range(3)) / (3 * len(names))
+        go += np.diag(1 - go.sum(axis=1))
+        pi = np.ones(len(names)) / len(names)
+        for _ in range(ranking.STEPS):
+            pi = ranking.DAMPING * (pi @ go) + (1 - ranking.DAMPING) / len(names)
+        out |= {(q, k): p for k, p in zip(names, pi)}
+    return out
+
+
+def _random_rows(seed, queries=5, most=20):
+    rng = random.Random(seed)
+    rows = []
+    for q in range(queries):
+        for i in range(rng.randint(1, most)):
+            leg = rng.choice(["vector", "keyword", "both"])
+            ts = rng.choice(["", f"2026-03-{rng.randint(1, 9):02d}T00:00:00+00:00"])
+            rows.append(_row(f"d{i:02d}", 0.0 if leg == "keyword" else rng.randint(0, 9) / 10, None if leg == "vector" else -float(rng.randint(0, 9)), ts, leg, q))
+    return rows
+
+
+def test_walk_equals_the_dense_chain(spark):
+    rows = _random_rows(5, 40)
+    got = {(r.query_id, r.doc_id): r.stationarity for r in ranked(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = _dense(rows)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_queries_beyond_a_task_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "BLOCKS", 4)
+    monkeypatch.setattr(ranking, "STEPS", 3)
+    rows = _random_rows(7, 3, 14)
+    got = {(r.query_id, r.doc_id): (r.stationarity, r.standing) for r in ranked(spark.createDataFrame(rows, SCHEMA), in_task=0, steps=3).collect()}
+    whole = {(r.query_id, r.doc_id): r.standing for r in ranked(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = _dense(rows)
+    assert got.keys() == want.keys() and all(abs(got[k][0] - want[k]) < 1e-9 for k in want) and {k: v[1] for k, v in got.items()} == whole
+
+
+def test_no_rows_and_null_ids(spark):
+    df = spark.createDataFrame([(None, "a", 0.1, -1.0, "", "both", None), (1, None, 0.1, -1.0, "", "both", None), (1, "a", float("nan"), None, "no time", None, None)], SCHEMA)
+    assert [tuple(r) for r in leading(df).collect()] == [(1, "a", 1)]
+    assert leading(df.limit(0)).count() == 0
