@@ -1 +1,3 @@
+"""Sources."""
 
+from threadmill.sources.transcripts import Tail, register  # noqa: F401

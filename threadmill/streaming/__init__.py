@@ -1 +1,3 @@
+"""Streaming."""
 
+from threadmill.streaming.watch import backfill, follow  # noqa: F401
