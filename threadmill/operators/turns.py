@@ -13,6 +13,7 @@ from threadmill.functions import blocks
 from threadmill.functions.json import decoded_object, elements, is_string
 from threadmill.functions.text import is_blank, none_if_empty, sha16, strip, truncated
 from threadmill.operators.lines import held_lines
+from threadmill.session import cut
 
 _DEFAULT = Settings()
 
@@ -69,7 +70,7 @@ def assemble(lines: DataFrame, settings: Settings = _DEFAULT) -> DataFrame:
     Absent values are ''. Turns of fewer than ``min_turn_chars`` characters are left out, longer ones than
     ``max_turn_chars`` cut; a summary closes the turn before it and is a row of its own. Empty tables: no rows.
     """
-    rows = carried(entries(lines), settings)
+    rows = cut(carried(entries(lines), settings))  # decoded once for the four uses below
     is_boundary = F.col("prompt").isNotNull() | F.col("type").eqNullSafe("summary")
     heads = rows.where(is_boundary)
     closing = heads.select(F.col("path").alias("__p"), (F.col("turn") - 1).alias("__t"), F.col("at").alias("close_at"), F.col("on").alias("close_on"))
