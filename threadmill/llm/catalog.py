@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from threadmill.llm import conversations, markup, personal, sentences, splitting, tokens
+from threadmill.llm import conversations, markup, packing, personal, sentences, splitting, tokens
 from threadmill.session import table
 
 
@@ -27,12 +27,16 @@ def p8_ids(spark, folder):
     return tokens.encode(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p9_inputs(spark, folder):
+    return packing.pack(table(spark, folder, "documents"), "doc_id", "text", "source", table(spark, folder, "embed_models"))
+
+
 def p10_found(spark, folder):
     documents = table(spark, folder, "documents")
     return sentences.found(documents.where("form = 'prose'"), sentences.learn(documents))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_inputs": p9_inputs, "p10_found": p10_found}
 
 ORACLES = {
     "p4_found": """

@@ -67,7 +67,7 @@ class BytePair:
         self.known: dict[str, list[int]] = {}
         self.words = regex.compile(WORDS)
         self.of_byte = np.array([vocab[c] for _, c in sorted(byte_letters().items())], dtype=np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         merges = pa.table({"a": pa.array([vocab[a] for a, _ in pairs], pa.int32()), "b": pa.array([vocab[b] for _, b in pairs], pa.int32()), "rank": pa.array(range(len(pairs)), pa.int32()), "new": pa.array([vocab[a + b] for a, b in pairs], pa.int32())})
         self.db.register("arrow_merges", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM arrow_merges")
