@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadmill.operators.lines import held_lines
+from threadmill.session import cut
 
 BLOCK = 1 << 22
 
@@ -22,36 +23,44 @@ def _block(x) -> F.Column:
     return F.floor(x / F.lit(BLOCK)).cast("bigint")
 
 
+def _carry(blocks: DataFrame, value: str, name: str) -> DataFrame:
+    """A row per source and block with the greatest ``value`` of all earlier blocks."""
+    earlier = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.groupBy("source", "b").agg(F.max(value).alias("v")).select("source", "b", F.max("v").over(earlier).alias(name))
+
+
 def merge_intervals(intervals: DataFrame) -> DataFrame:
     """Disjoint, maximal intervals (source, seq_from, seq_to) of the given ones.
 
-    Empty or reversed intervals and those with a null are left out; touching ones become one. A source is
-    worked on in blocks of its sequence numbers, so a source with a third of all rows is spread over many
-    tasks; only the islands at block borders meet again, two a block.
+    Empty or reversed intervals and those with a null are left out; touching ones become one. A source is worked on
+    in blocks of its sequence numbers; how far the intervals of earlier blocks reach, and where the last island
+    began, is carried over by one row a block, so a source with a third of all rows is spread over many tasks.
     """
     rows = intervals.select("source", "seq_from", "seq_to").where("source is not null and seq_from < seq_to").withColumn("b", _block(F.col("seq_from")))
     inner = Window.partitionBy("source", "b").orderBy("seq_from", "seq_to")
-    rows = rows.withColumn("reach", F.max("seq_to").over(inner.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("island", F.sum(F.when(F.col("seq_from") <= F.col("reach"), 0).otherwise(1)).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-    islands = rows.groupBy("source", "b", "island").agg(F.min("seq_from").alias("seq_from"), F.max("seq_to").alias("seq_to"))
-    # An island can only join another block's if it reaches past its block's end or is the first of its block.
-    edge = (F.col("island") == 1) | (F.col("seq_to") >= (F.col("b") + 1) * F.lit(BLOCK))
-    inside, edges = islands.where(~edge), islands.where(edge)
-    outer = Window.partitionBy("source").orderBy("seq_from", "seq_to")
-    edges = edges.withColumn("reach", F.max("seq_to").over(outer.rowsBetween(Window.unboundedPreceding, -1)))
-    edges = edges.withColumn("island", F.sum(F.when(F.col("seq_from") <= F.col("reach"), 0).otherwise(1)).over(outer.rowsBetween(Window.unboundedPreceding, 0)))
-    edges = edges.groupBy("source", "island").agg(F.min("seq_from").alias("seq_from"), F.max("seq_to").alias("seq_to"))
-    merged = inside.select("source", "seq_from", "seq_to").unionByName(edges.select("source", "seq_from", "seq_to"))
-    return _drop_contained(merged)
-
-
-def _drop_contained(intervals: DataFrame) -> DataFrame:
-    """Islands inside a block that an edge island of an earlier block overran are part of it."""
-    parts = intervals.withColumn("b", F.explode(F.sequence(_block(F.col("seq_from")), _block(F.col("seq_to") - 1))))
-    w = Window.partitionBy("source", "b").orderBy("seq_from", F.desc("seq_to")).rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("reach", F.max("seq_to").over(w))
-    first = F.col("b") == _block(F.col("seq_from"))
-    return parts.where(first & (F.col("reach").isNull() | (F.col("seq_to") > F.col("reach")))).select("source", "seq_from", "seq_to")
+    rows = rows.join(_carry(rows, "seq_to", "reach"), ["source", "b"])
+    reach = F.greatest("reach", F.max("seq_to").over(inner.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("began", F.when(F.coalesce(F.col("seq_from") > reach, F.lit(True)), F.col("seq_from")))
+    rows = rows.join(_carry(rows, "began", "before"), ["source", "b"])
+    island = F.coalesce(F.max("began").over(inner.rowsBetween(Window.unboundedPreceding, 0)), "before")
+    return rows.withColumn("island", island).groupBy("source", "island").agg(F.max("seq_to").alias("seq_to")).select("source", F.col("island").alias("seq_from"), "seq_to")
+
+
+def _pieces(intervals: DataFrame) -> DataFrame:
+    """The intervals cut at the borders of blocks: (source, b, seq_from, seq_to)."""
+    parts = intervals.where("source is not null and seq_from < seq_to").withColumn("b", F.explode(F.sequence(_block(F.col("seq_from")), _block(F.col("seq_to") - 1))))
+    return parts.select("source", "b", F.greatest("seq_from", F.col("b") * F.lit(BLOCK)).alias("seq_from"), F.least("seq_to", (F.col("b") + 1) * F.lit(BLOCK)).alias("seq_to"))
+
+
+def reopen(intervals: DataFrame, points: DataFrame) -> DataFrame:
+    """The intervals (disjoint) without the sequence numbers (source, seq) that are to be processed again, in blocks."""
+    cuts = points.where("source is not null").select("source", _block(F.col("seq")).alias("b"), F.col("seq").alias("seq_from"), F.lit(None).cast("bigint").alias("seq_to")).distinct()
+    rows = _pieces(intervals).select("source", "b", "seq_from", "seq_to").unionByName(cuts)
+    order = Window.partitionBy("source", "b").orderBy("seq_from", F.asc_nulls_last("seq_to"))
+    rows = rows.withColumns({"end": F.max("seq_to").over(order.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead("seq_from").over(order)})
+    start = F.when(F.col("seq_to").isNull(), F.col("seq_from") + 1).otherwise(F.col("seq_from"))
+    rows = rows.where("end is not null").select("source", start.alias("seq_from"), F.least("end", F.coalesce("next", "end")).alias("seq_to"))
+    return rows.where("seq_from < seq_to")
 
 
 def subtract_intervals(items: DataFrame, processed: DataFrame) -> DataFrame:
@@ -61,8 +70,7 @@ def subtract_intervals(items: DataFrame, processed: DataFrame) -> DataFrame:
     """
     extra = [c for c in items.columns if c not in ("source", "seq")]
     kept = items.select("source", "seq", F.struct(F.lit(1), *extra).alias("rest"), F.lit(None).cast("bigint").alias("reach"))
-    pieces = processed.where("seq_from < seq_to").withColumn("b", F.explode(F.sequence(_block(F.col("seq_from")), _block(F.col("seq_to") - 1))))
-    pieces = pieces.select("source", F.greatest("seq_from", F.col("b") * F.lit(BLOCK)).alias("seq"), F.lit(None).cast(kept.schema["rest"].dataType).alias("rest"), F.col("seq_to").alias("reach"))
+    pieces = _pieces(processed).select("source", F.col("seq_from").alias("seq"), F.lit(None).cast(kept.schema["rest"].dataType).alias("rest"), F.col("seq_to").alias("reach"))
     both = kept.unionByName(pieces).withColumn("b", _block(F.col("seq"))).withColumn("is_item", F.col("rest").isNotNull())
     w = Window.partitionBy("source", "b").orderBy("seq", "is_item").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("covered", F.max("reach").over(w))
@@ -86,25 +94,25 @@ def line_items(lines: DataFrame) -> DataFrame:
 
 
 def saved_intervals(items: DataFrame, saves: DataFrame) -> DataFrame:
-    """The ledger that the saves stand for: the bytes of the lines done when the path was saved, as disjoint intervals.
+    """The ledger that the saves stand for: of each path the numbers below its offset, as disjoint intervals.
 
-    A line ends at the next line's start at the latest, so lines that overlap never cover each other.
+    Lines that were not there as a whole when the path was saved (they end behind the offset, or the text that holds
+    came later) are open again: their numbers are gaps in it.
     """
-    width = 1 << 26
-    blocks = Window.partitionBy("path", F.floor(F.col("byte_start") / F.lit(width))).orderBy("byte_start")
-    joined = items.join(saves, "path", "left")
-    done = joined.withColumn("next", F.lead("byte_start").over(blocks)).where("byte_end <= offset and first_seen <= saved_at")
-    end = F.greatest(F.least("byte_end", F.coalesce("next", "byte_end")), F.col("byte_start") + 1)
-    return merge_intervals(done.select(F.col("path").alias("source"), F.col("byte_start").alias("seq_from"), end.alias("seq_to")))
+    ledger = saves.select(F.col("path").alias("source"), F.lit(0).cast("bigint").alias("seq_from"), F.col("offset").alias("seq_to"))
+    told = items.join(saves, "path")
+    done = F.coalesce((F.col("byte_end") <= F.col("offset")) & (F.col("first_seen") <= F.col("saved_at")), F.lit(False))
+    late = told.where(~done & (F.col("byte_start") < F.col("offset"))).select(F.col("path").alias("source"), F.col("byte_start").alias("seq"))
+    return merge_intervals(reopen(merge_intervals(ledger), late))
 
 
 def unprocessed_lines(lines: DataFrame, index_state: DataFrame) -> DataFrame:
     """(path, byte_start) of the lines that hold and are new or changed since the save that counts.
 
-    Rows without path or byte_start name no line. Null seen_at or saved_at: not done. Null byte_len counts as 0.
-    Empty tables give no rows (no saves: every line).
+    A line is known by the number of its first byte. Rows without path or byte_start name no line. Null seen_at or
+    saved_at: not done. Null byte_len counts as 0. Empty tables give no rows (no saves: every line).
     """
-    items = line_items(lines)
+    items = cut(line_items(lines))
     ledger = saved_intervals(items, last_saves(index_state))
     found = subtract_intervals(items.select(F.col("path").alias("source"), F.col("byte_start").alias("seq")), ledger)
     return found.select(F.col("source").alias("path"), F.col("seq").alias("byte_start"))
@@ -120,7 +128,7 @@ class Ledger:
     """Runs and their intervals in one folder; a run exists once its manifest does.
 
     ``run(items, process)`` writes the output and the merged intervals of the run under a name of its own and
-    then creates the manifest ``_runs/<number>`` in one step. A run that fails before that leaves files no one
+    then creates the manifest ``_runs/<number>``, which only one writer can. A run that fails before that leaves files no one
     reads; the next run sees the same gaps again. Two writers that race for a number: one create fails, that
     run is void.
     """
@@ -131,23 +139,40 @@ class Ledger:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _manifests(self) -> list[dict]:
+    def _names(self) -> list[str]:
+        """The manifests, the last one last."""
         at = self._path(f"{self.folder}/_runs")
-        if not self._fs.exists(at):
-            return []
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(at) if s.getPath().getName().isdigit())
-        out = []
-        for name in names:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream := self._fs.open(self._path(f"{self.folder}/_runs/{name}")), "UTF-8")
-            stream.close()
-            out.append(json.loads(text))
-        return out
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(at) if x.getPath().getName().isdigit()) if self._fs.exists(at) else []
+
+    def _read(self, name: str) -> dict | None:
+        """None where a writer stopped between creating the manifest and filling it: that run never was."""
+        stream = self._fs.open(self._path(f"{self.folder}/_runs/{name}"))
+        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        try:
+            return json.loads(text)
+        except ValueError:
+            return None
+
+    def _manifests(self) -> list[dict]:
+        return [m for m in map(self._read, self._names()) if m]
+
+    def _last(self) -> dict | None:
+        return next((m for m in map(self._read, reversed(self._names())) if m), None)
+
+    def vacuum(self) -> int:
+        """Remove the folders of runs that failed; call it while no run is going on."""
+        kept, gone = {m["name"] for m in self._manifests()}, 0
+        for x in self._fs.listStatus(self._path(self.folder)) if self._fs.exists(self._path(self.folder)) else ():
+            if x.getPath().getName().startswith("run-") and x.getPath().getName() not in kept:
+                gone += bool(self._fs.delete(x.getPath(), True))
+        return gone
 
     def processed(self) -> DataFrame:
-        runs = self._manifests()
-        if not runs:
+        last = self._last()
+        if not last:
             return self.spark.createDataFrame([], "source string, seq_from bigint, seq_to bigint")
-        return self.spark.read.parquet(f"{self.folder}/{runs[-1]['name']}/intervals")
+        return self.spark.read.parquet(f"{self.folder}/{last['name']}/intervals")
 
     def places(self) -> DataFrame:
         """(source, seq, version) of every item that was processed; version is null where items had none."""
@@ -173,8 +198,9 @@ class Ledger:
         An item with a version is processed unless that version of its place was; so a changed text opens its
         place again. Only the sequence numbers of processed items are committed, none that lie between them.
         """
-        runs = self._manifests()
-        name, before = f"run-{len(runs):09d}-{uuid.uuid4().hex[:12]}", self.processed()
+        names = self._names()
+        number = int(names[-1]) + 1 if names else 0
+        name, before = f"run-{number:09d}-{uuid.uuid4().hex[:12]}", self.processed()
         at = f"{self.folder}/{name}"
         self._todo(items, before).write.parquet(f"{at}/input")  # frozen: a second read could see more
         todo = self.spark.read.parquet(f"{at}/input")
@@ -182,10 +208,11 @@ class Ledger:
         new = todo.select("source", F.col("seq").alias("seq_from"), (F.col("seq") + 1).alias("seq_to"))
         merge_intervals(before.unionByName(new)).write.parquet(f"{at}/intervals")
         self._fs.mkdirs(self._path(f"{self.folder}/_runs"))
-        draft, final = self._path(f"{at}/manifest"), self._path(f"{self.folder}/_runs/{len(runs):09d}")
-        stream = self._fs.create(draft, True)
+        final = self._path(f"{self.folder}/_runs/{number:09d}")
+        try:
+            stream = self._fs.create(final, False)  # whoever creates it first has the number
+        except Exception as e:
+            raise RuntimeError(f"another run committed {final.getName()} first; this one is void") from e
         stream.write(bytearray(json.dumps({"name": name}).encode()))
         stream.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            raise RuntimeError(f"another run committed {final.getName()} first; this one is void")
         return name
