@@ -6,7 +6,7 @@ into abbreviations, collocations and sentence starters; a second pass classifies
 """
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -45,6 +45,7 @@ _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*$")
 _THAI = re.compile("[฀-໿]")
 _SPACELESS = re.compile("(\\S*[\u0e00-\u0eff]\\S*)[^\\S\r\n\x85\u2028\u2029]+(?=[^\\sๆฯ])")
 _CJK = re.compile("[぀-ヿ㐀-䶿一-鿿]")
+_KANA = re.compile("[぀-ヿ]")
 _CLOSING = re.compile("[ \xa0\u202f" + re.escape("".join(sorted(_CLOSERS))) + "]*")
 _FIRST = re.compile(r"\s*")
 _OPENING = re.compile("[" + re.escape(_LEAD) + "]*")
@@ -52,32 +53,92 @@ _WORD = re.compile(r"\S+")
 _BLANKS = " \t\r\n\xa0 "
 
 
-def language(text: str, label: str | None) -> str:
-    """The language by script and, in Latin script, by function words; the label only decides where these can't."""
-    scripts: Counter = Counter()
-    latin = []
-    for m in _RANGES.finditer(text):
-        i = m.lastindex
-        if i > len(_SCRIPTS):
-            latin.append(m.group())
-        else:
-            scripts[_SCRIPTS[i - 1][0]] += len(m.group())
-    n_latin = sum(map(len, latin))
+_LANGUAGES = {w: [k for k, v in _FUNCTION_WORDS.items() if w in v] for v in _FUNCTION_WORDS.values() for w in v}
+_ASCII_WORD = re.compile("[a-z]+")
+#: Other languages that are written in a script which stands for one above.
+_SAME_SCRIPT = {"ru": "uk be bg sr mk kk ky mn tg".split(), "ar": "fa ur ps ku ug sd".split(), "hi": "mr ne sa".split()}
+#: A label that names another language holds unless so large a share of the words are function words of one of the four.
+CONTRADICTED = 0.12
+
+
+def _label(label: str | None) -> str:
+    return re.split(r"[-_]", (label or "").strip().lower())[0]
+
+
+def _chosen(scripts: dict, n_latin: int, score: dict, n_words: int, label: str | None) -> str:
     if scripts:
-        top, n = scripts.most_common(1)[0]
-        if top == "zh" and scripts["ja"] * 8 > n:
+        top = max(scripts, key=scripts.get)
+        n = scripts[top]
+        if top == "zh" and scripts.get("ja", 0) * 8 > n:
             top = "ja"
         if n * (2 if top in ("zh", "ja", "ko", "th", "lo") else 1) >= n_latin / 2:
-            return top
-    words = Counter(w.lower() for w in latin)
-    score = {k: sum(words[w] for w in v) for k, v in _FUNCTION_WORDS.items()}
-    best = max(score, key=score.get)
-    if score[best]:
+            name = _label(label)
+            return name if name in _SAME_SCRIPT.get(top, ()) else top
+    name = _label(label)
+    best = max(_FUNCTION_WORDS, key=lambda k: score.get(k, 0))
+    if name not in _FUNCTION_WORDS and 2 <= len(name) <= 3 and name.isalpha() and name not in _OF_SCRIPT and score.get(best, 0) < CONTRADICTED * n_words:
+        return name
+    if score.get(best):
         return best
-    name = re.split(r"[-_]", (label or "").strip().lower())[0]
     return name if name in _FUNCTION_WORDS else "en"
 
 
+_OF_SCRIPT = {k for k, _, _ in _SCRIPTS}.union(*_SAME_SCRIPT.values())
+
+
+def language(text: str, label: str | None) -> str:
+    """The language by script and, in Latin script, by function words of four languages; the label decides between languages that these can't tell apart."""
+    if text.isascii():
+        words = _ASCII_WORD.findall(text.lower())
+        score: dict = {}
+        for w, n in Counter(filter(_LANGUAGES.__contains__, words)).items():
+            for k in _LANGUAGES[w]:
+                score[k] = score.get(k, 0) + n
+        return _chosen({}, len(text), score, len(words), label)
+    return _Spans(text).language(0, len(text), label)
+
+
+class _Spans:
+    """The words of a text by script, so that any stretch of it can be asked for its language."""
+
+    def __init__(self, text: str):
+        self.at: list[int] = []
+        self.what: list = []  # (script, length) or the languages of a function word, or None for another Latin word
+        self.size: list[int] = []
+        for m in _RANGES.finditer(text):
+            i, w = m.lastindex, m.group()
+            self.at.append(m.start())
+            self.size.append(len(w))
+            if i > len(_SCRIPTS):
+                self.what.append(_LANGUAGES.get(w.lower()))
+            else:
+                self.what.append(_SCRIPTS[i - 1][0])
+
+    def language(self, start: int, end: int, label: str | None) -> str:
+        scripts: dict = {}
+        score: dict = {}
+        n_latin = n_words = 0
+        for i in range(bisect_left(self.at, start), bisect_left(self.at, end)):
+            what, n = self.what[i], self.size[i]
+            if what.__class__ is str:
+                scripts[what] = scripts.get(what, 0) + n
+            else:
+                n_latin += n
+                n_words += 1
+                if what:
+                    for k in what:
+                        score[k] = score.get(k, 0) + 1
+        return _chosen(scripts, n_latin, score, n_words, label)
+
+
+_FOREIGN = {k: {w for w, v in _LANGUAGES.items() if k not in v} for k in _FUNCTION_WORDS}
+
+
+def _mixed(text: str, lang: str) -> bool:
+    """Whether anything in a text may speak for another language."""
+    return lang not in _FUNCTION_WORDS or not text.isascii() or not _FOREIGN[lang].isdisjoint(_ASCII_WORD.findall(text.lower()))
+
+
 def kind_of(token: str) -> str:
     """num, low, up or other, by the first letter or digit; other also where scripts without case follow."""
     if _CJK.search(token):
@@ -101,30 +162,41 @@ def before_period(token: str) -> str:
     return "##" if re.fullmatch(r"\d+", t) else "#.#" if _NUMBER.match(t) else t
 
 
-def count(text: str, lang: str, tallies: Counter) -> None:
-    """Add what one text shows to the tallies (lang, what, w, x)."""
+_BOUNDARY = re.compile("[。！？!?]+[\"”」』》）)\\s]*([^\\W_]\\w)")
+_DOTTED = re.compile("…[…\"”」』》）)\\s]*([^\\W_]\\w)")
+
+
+def count(text: str, lang: str, tallies: Counter, words: Counter) -> None:
+    """Add what one text shows to the tallies (lang, what, w, x), and its tokens to those of its language."""
     at = 0
     for stop in [*[m.span() for m in PARAGRAPH.finditer(text)], (len(text), len(text))]:
         tokens = _WORD.findall(text, at, stop[0])
         at = stop[1]
-        sure = True  # a paragraph's first word opens a sentence
+        if not tokens:
+            continue
+        words.update(tokens)
+        _first_word(tokens, 0, lang, tallies)  # a paragraph's first word opens a sentence
         for i, token in enumerate(tokens):
-            x = bare(token)
-            if not x and any(c in _CLOSERS for c in token):
-                sure = False  # what follows a quotation may go on
-            if x:
-                tallies[lang, "word", x, ""] += 1
-                if sure:
-                    tallies[lang, "start", x, ""] += 1
-                    sure = False
-            core = token.rstrip("\"”“»›」』》)）]］】'’")
-            if core == token and core[-1:] in "!?؟।" and core.lstrip(_LEAD):
-                sure = True
-            if core.endswith(".") and not core.endswith("..") and core == token and i + 1 < len(tokens):
-                nxt = tokens[i + 1]
-                tallies[lang, "pair", before_period(core[:-1]), f"{kind_of(nxt)} {bare(nxt)}"] += 1
-    for m in re.finditer(r"(\w\w)…+(\w\w)", text):
-        tallies["*", "ellipsis", m.group(1), m.group(2)] += 1
+            last = token[-1]
+            if last == ".":
+                if token[-2:] != ".." and i + 1 < len(tokens):
+                    nxt = tokens[i + 1]
+                    tallies[lang, "pair", before_period(token[:-1]), f"{kind_of(nxt)} {bare(nxt)}"] += 1
+            elif last in "!?؟।" and token.lstrip(_LEAD):
+                _first_word(tokens, i + 1, lang, tallies)
+    if lang in ("zh", "ja", "ko", "th", "lo"):
+        for what, pattern in (("opens", _BOUNDARY), ("follows", _DOTTED)):
+            for w in pattern.findall(text):
+                tallies[lang, what, w, ""] += 1
+
+
+def _first_word(tokens: list[str], i: int, lang: str, tallies: Counter) -> None:
+    for token in tokens[i : i + 8]:
+        if x := bare(token):
+            tallies[lang, "start", x, ""] += 1
+            return
+        if any(c in _CLOSERS for c in token):
+            return  # what follows a quotation may go on
 
 
 def llr(k: F.Column, n: F.Column, rest_k: F.Column, rest_n: F.Column) -> F.Column:
@@ -150,18 +222,18 @@ class Model:
     abbreviations: set = field(default_factory=set)
     before_numbers: set = field(default_factory=set)
     collocations: set = field(default_factory=set)
-    ellipses: set = field(default_factory=set)
+    continued: set = field(default_factory=set)  # what goes on after an ellipsis
     rare: DataFrame | None = None  # (role, lang, w, x) of the entries that are not in the sets
 
     def sets(self) -> dict[str, set]:
         return {role: getattr(self, role) for role in _ASKED}
 
     def key(self, role: str, lang: str, w: str, x: str) -> tuple:
-        return (lang, w, x) if role in ("collocations", "ellipses") else (lang, w)
+        return (lang, w, x) if role == "collocations" else (lang, w)
 
 
-#: What is asked for by which part of a candidate: the next word, the word before, both, or the letters around an ellipsis.
-_ASKED = {"starters": "x", "others": "x", "abbreviations": "w", "before_numbers": "w", "collocations": "wx", "ellipses": "dots"}
+#: What is asked for by which part of a candidate: the next word, the word before, both, or the letters after an ellipsis.
+_ASKED = {"starters": "x", "others": "x", "abbreviations": "w", "before_numbers": "w", "collocations": "wx", "continued": "dots"}
 
 
 def tally(df: DataFrame, text: str, lang: str) -> DataFrame:
@@ -170,9 +242,15 @@ def tally(df: DataFrame, text: str, lang: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tallies: Counter = Counter()
+            words: dict[str, Counter] = {}
             for t, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if t and not t.isspace():
-                    count(t, language(t, label), tallies)
+                    name = language(t, label)
+                    count(t, name, tallies, words.setdefault(name, Counter()))
+            for name, tokens in words.items():
+                for token, n in tokens.items():
+                    if x := bare(token):
+                        tallies[name, "word", x, ""] += n
             keys = list(tallies)
             yield pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in keys], pa.string()) for i in range(4)], pa.array([tallies[k] for k in keys], pa.int64())], ["lang", "what", "w", "x", "n"])
 
@@ -189,7 +267,7 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", most: int = BRO
     counts = cut(tally(df, text, lang))
     words = counts.where("what = 'word'").select("lang", F.col("w").alias("x"), F.col("n").alias("total"))
     starts = counts.where("what = 'start'").select("lang", F.col("w").alias("x"), F.col("n").alias("first"))
-    sizes = counts.groupBy("lang").agg(*[F.sum(F.when(F.col("what") == k, F.col("n")).otherwise(0)).alias(f"all_{k}") for k in ("word", "start", "pair", "ellipsis")])
+    sizes = counts.groupBy("lang").agg(*[F.sum(F.when(F.col("what") == k, F.col("n")).otherwise(0)).alias(f"all_{k}") for k in ("word", "start", "pair", "opens", "follows")])
     both = words.join(starts, ["lang", "x"], "left").fillna(0, ["first"]).join(F.broadcast(sizes), "lang")  # a row per language
     ratio = F.col("first") / F.col("total")
     both = both.withColumn("llr", llr(F.col("first"), F.col("total"), F.col("all_start") - F.col("first"), F.col("all_word") - F.col("total")))
@@ -211,14 +289,15 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", most: int = BRO
     joint = pairs.where("role = 'other'").groupBy("lang", "w", "x").agg(F.sum("n").alias("k")).join(per.select("lang", "w", "n", "all_n"), ["lang", "w"]).join(follow, ["lang", "x"])
     collocations = joint.where(llr(F.col("k"), F.col("n"), F.col("n_x") - F.col("k"), F.col("all_n") - F.col("n")) > SIGNIFICANT)
 
-    dots = counts.where("what = 'ellipsis'").select("lang", "w", "x", "n")
-    dots = dots.join(dots.groupBy("lang", "w").agg(F.sum("n").alias("n_w")), ["lang", "w"])
-    ellipses = dots.where((F.col("n") >= 3) & (F.col("n") / F.col("n_w") >= 0.8))
+    # What follows an ellipsis far more often than it opens a sentence goes on.
+    dots = counts.where("what = 'follows'").select("lang", "w", F.col("n").alias("k")).join(counts.where("what = 'opens'").select("lang", "w", F.col("n").alias("o")), ["lang", "w"], "left").fillna(0, ["o"]).join(F.broadcast(sizes), "lang")
+    rate = (F.col("k") / F.col("all_follows")) / (F.greatest(F.col("o"), F.lit(0.5)) / F.greatest(F.col("all_opens"), F.lit(1)))
+    continued = dots.where((rate >= 4) & (llr(F.col("k"), F.col("all_follows"), F.col("o"), F.col("all_opens")) > SIGNIFICANT))
 
     rows = lambda d, role, w, x, n: d.select(F.lit(role).alias("role"), "lang", F.col(w).alias("w"), (F.col(x) if x else F.lit("")).alias("x"), F.col(n).alias("n"))
     others = roles.where("role = 'other'").join(pairs.select("lang", "x").distinct(), ["lang", "x"], "left_semi")
     entries = rows(roles.where("role = 'starter'"), "starters", "x", None, "total").unionByName(rows(others, "others", "x", None, "total"))
-    for d, role, x, n in ((abbreviations, "abbreviations", None, "n"), (numbers, "before_numbers", None, "n"), (collocations, "collocations", "x", "k"), (ellipses, "ellipses", "x", "n")):
+    for d, role, x, n in ((abbreviations, "abbreviations", None, "n"), (numbers, "before_numbers", None, "n"), (collocations, "collocations", "x", "k"), (continued, "continued", None, "k")):
         entries = entries.unionByName(rows(d, role, "w", x, n))
     entries = cut(entries)
     model, least = Model(), 0
@@ -230,24 +309,36 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", most: int = BRO
     return model
 
 
+_QUOTES = re.compile('["“”„«»‹›「」『』《》()（）\\[\\]［］【】]')
+
+
 def quotations(p: str) -> list[tuple[int, int]]:
     """The outermost quotations and brackets of a paragraph that are closed in it: (opening, closing) positions."""
     stack: list[tuple[int, str]] = []
+    open_for: dict[str, list[int]] = {}  # closing mark -> places in the stack
     pairs = []
-    for m in re.finditer('["“”„«»‹›「」『』《》()（）\\[\\]［］【】]', p):
+
+    def push(i: int, closers: str) -> None:
+        for c in closers:
+            open_for.setdefault(c, []).append(len(stack))
+        stack.append((i, closers))
+
+    for m in _QUOTES.finditer(p):
         c, i = m.group(), m.start()
-        open_at = next((k for k in range(len(stack) - 1, -1, -1) if c in stack[k][1]), None)
+        open_at = open_for[c][-1] if open_for.get(c) else None
         if open_at is not None and (c != "“" or stack[open_at][1] == "“”"):
             if c == '"' and i + 1 < len(p) and p[i + 1].isalnum() and i and p[i - 1].isspace():
-                stack.append((i, '"'))  # a second opening mark: the first was never closed
+                push(i, '"')  # a second opening mark: the first was never closed
                 continue
             pairs.append((stack[open_at][0], i))
-            del stack[open_at:]
+            while len(stack) > open_at:
+                for x in stack.pop()[1]:
+                    open_for[x].pop()
         elif c == '"':
             if i == 0 or p[i - 1].isspace() or p[i - 1] in _OPENERS or not p[i - 1].isalnum():
-                stack.append((i, '"'))
+                push(i, '"')
         elif c in _OPENERS:
-            stack.append((i, _OPENERS[c]))
+            push(i, _OPENERS[c])
     pairs.sort()
     out: list[tuple[int, int]] = []
     for a, b in pairs:
@@ -285,6 +376,7 @@ def _cuts(p: str, lang: str, model: Model) -> list[int]:
     cuts: list[int] = []
     length = len(p.rstrip())
     start = 0  # of the current sentence
+    spans_of_words, mixed = None, True
     for a, b, run in events:
         if a < start:
             continue
@@ -315,7 +407,10 @@ def _cuts(p: str, lang: str, model: Model) -> list[int]:
             break
         ends = _ends(p, start, a, b, end, run, lang, model, quoted, bracketed, at_start)
         if ends and run == "." and span is None:
-            near = _local(p, start, end, lang)
+            if mixed and spans_of_words is None and (mixed := _mixed(p, lang)):
+                spans_of_words = _Spans(p)
+            # a sentence may be quoted from another language
+            near = spans_of_words.language(max(start, end - 120), end + 60, lang) if mixed else lang
             if near != lang:
                 ends = _ends(p, start, a, b, end, run, near, model, quoted, bracketed, at_start)
         if ends:
@@ -324,22 +419,17 @@ def _cuts(p: str, lang: str, model: Model) -> list[int]:
     return cuts
 
 
-def _local(p: str, start: int, end: int, lang: str) -> str:
-    """The language of the sentence around a candidate, for sentences quoted from another language."""
-    return language(p[max(start, end - 120) : end] + " " + p[end : end + 60], lang)
-
-
 def _ends(p: str, start: int, a: int, b: int, end: int, run: str, lang: str, model: Model, quoted: bool, bracketed: bool, at_start: bool) -> bool:
     """Whether a sentence ends with the terminal run [a, b), whose closing marks go to ``end``."""
     nxt = p[end]
     spaced = nxt.isspace()
-    token = (_WORD.search(p, end) or [""])[0] if end < len(p) else ""
-    kind, x = kind_of(token), bare(token)
     wide = any(c in _NO_SPACE for c in run)
-    starter, other = (lang, x) in model.starters, (lang, x) in model.others
     if not spaced and not wide and "…" not in run:
         if not ((quoted or bracketed) and (nxt in _OPENERS or _CJK.match(nxt))):
             return run[-1] in "!?" and bool(_CJK.match(nxt)) and not quoted
+    token = (_WORD.search(p, end) or [""])[0]
+    kind, x = kind_of(token), bare(token)
+    starter, other = (lang, x) in model.starters, (lang, x) in model.others
     if bracketed:
         return at_start
     if quoted:
@@ -361,13 +451,13 @@ def _ends(p: str, start: int, a: int, b: int, end: int, run: str, lang: str, mod
             return True
         if kind == "low" and not _CJK.match(p[a - 1 : a]):
             return False
-        before, after = p[max(0, a - 2) : a], p[end : end + 2]
-        return ("*", before, after) not in model.ellipses
+        if _CJK.match(p[a - 1 : a]):  # the sentence may stand in a text of another language
+            lang = "ja" if _KANA.search(p, max(0, a - 30), end + 30) else "zh"
+        return (lang, token[:2]) not in model.continued
     if wide or run[0] in "۔;։":
         return True
     # a period
-    head = p[:a]
-    word = head[max(head.rfind(c) for c in _BLANKS) + 1 :]
+    word = _before(p, a)
     w = before_period(word)
     if w == "##" and not p[start : a - len(word)].strip(_LEAD):
         return False  # the number of a list item opens its sentence
@@ -385,6 +475,14 @@ def _ends(p: str, start: int, a: int, b: int, end: int, run: str, lang: str, mod
     return not (w == "##" and other)
 
 
+def _before(p: str, a: int) -> str:
+    """What stands before a mark, back to the last blank."""
+    i = a
+    while i and p[i - 1] not in _BLANKS:
+        i -= 1
+    return p[i:a]
+
+
 def asked(text: str) -> set[tuple[str, str, str]]:
     """(part, w, x) of every entry that sentences() can look up for a text, in whatever language."""
     out = set()
@@ -394,12 +492,11 @@ def asked(text: str) -> set[tuple[str, str, str]]:
         at = stop[1]
         for m in _TERMINAL.finditer(p):
             a, b = m.span()
-            head = p[:a]
-            w = before_period(head[max(head.rfind(c) for c in _BLANKS) + 1 :])
+            w = before_period(_before(p, a))
             out.add(("w", w, ""))
             for end in range(b, min(_CLOSING.match(p, b).end(), len(p) - 1) + 1):
                 x = bare((_WORD.search(p, end) or [""])[0])
-                out |= {("x", x, ""), ("wx", w, x), ("dots", p[max(0, a - 2) : a], p[end : end + 2])}
+                out |= {("x", x, ""), ("wx", w, x), ("dots", (_WORD.search(p, end) or [""])[0][:2], "")}
     return out
 
 
