@@ -57,6 +57,11 @@ _WIKI = re.compile(
     r"|(?P<magic>__(?:NO|FORCE)?TOC__|__NOEDITSECTION__|^#REDIRECT\b)|(?P<ref></?(?:ref|references|gallery|math|poem|includeonly|noinclude|onlyinclude)\b[^<>\n]*>)|(?P<jtable>^\|\|[^\n]*\|\|[ \t]*$)|(?P<bq>^bq\. +(?=\S))",
     re.M | re.S,
 )
+#: A text without any of these has no wiki construct.
+_WIKI_SIGN = re.compile(r"[{\[<]|''|__|^=|^\|\||^[ \t:]*\{\||^h[1-6]\. |^bq\. |^#REDIRECT", re.M)
+#: What a line must start with to be a construct of its own, and a line under a heading.
+_LINE_SIGN = re.compile(r"^(?:(?:User|Assistant|Session Summary): )?[ \t]*(?:[#>*+|:_-]|\d{1,9}[.)]|\[[^\]\n]+\]:)", re.M)
+_UNDER = re.compile(r"^ {0,3}(?:={3,}|-{3,})[ \t]*$", re.M)
 _MARKDOWN = re.compile(
     rf"(?P<heading>{_PREFIX} {{0,3}}(?P<hashes>#{{1,6}})[ \t]+(?=\S))|(?P<setext>^(?P<above>[^\s>|#\x00][^\n]*)\n {{0,3}}(?P<under>={{3,}}|-{{3,}})[ \t]*$)|(?P<quote>{_PREFIX} {{0,3}}(?P<gt>>(?:[ \t]?>)*)[ \t]?(?=\S))"
     rf"|(?P<rule>^ {{0,3}}(?:(?:\*[ \t]*){{3,}}|(?:-[ \t]*){{3,}}|(?:_[ \t]*){{3,}})$)|(?P<bullet>{_PREFIX}(?P<indent>[ \t]*)[-+*][ \t]+(?:\[[ xX]\] )?(?=\S))|(?P<number>{_PREFIX}(?P<nindent>[ \t]*)\d{{1,9}}[.)][ \t]+(?=\S))"
@@ -166,6 +171,8 @@ def normal(text: str) -> str:
 
 def _code(text: str) -> tuple[list[Construct], str]:
     """Code blocks and code spans, first come first served, and the text with their insides masked."""
+    if "`" not in text and "~~~" not in text and "<" not in text and "{" not in text:
+        return [], text
     out, parts, at = [], [], 0
     hide = lambda a, b: re.sub(r"[^\n]", "\0", text[a:b])
     pos = 0
@@ -228,6 +235,8 @@ def _blank(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def _html(text: str) -> list[Construct]:
+    if "<" not in text and "&" not in text:
+        return []
     out, open_at = [], {}
     for m in _HTML.finditer(text):
         a, b = m.span()
@@ -258,6 +267,8 @@ def _html(text: str) -> list[Construct]:
 
 
 def _latex(text: str) -> list[Construct]:
+    if "\\" not in text and "$" not in text:
+        return []
     out, open_at = [], {}
     for m in _LATEX.finditer(text):
         a, b = m.span()
@@ -319,6 +330,8 @@ def _matching(text: str, start: int) -> int:
 
 
 def _wiki(text: str) -> list[Construct]:
+    if not _WIKI_SIGN.search(text):
+        return []
     out = []
     for m in _WIKI.finditer(text):
         a, b = m.span()
@@ -360,11 +373,14 @@ def _wiki(text: str) -> list[Construct]:
 
 def _markdown(text: str) -> list[Construct]:
     out, pos = [], 0
-    while m := _MARKDOWN.search(text, pos):
+    starts = {m.start() for m in _LINE_SIGN.finditer(text)} | {text.rfind("\n", 0, m.start() - 1) + 1 for m in _UNDER.finditer(text) if m.start()}
+    for start in sorted(starts):
+        if start < pos or not (m := _MARKDOWN.match(text, start)):
+            continue
         a, b = m.span()
         form = next(k for k in ("heading", "setext", "quote", "rule", "bullet", "number", "delim", "row", "define") if m.group(k) is not None)
         c = Construct(a, b, MARKDOWN, form, LIKELY)
-        pos = b if b > a else b + 1
+        pos = b
         if form == "setext":
             c.edits = [(a, a, "# " if m.group("under")[0] == "=" else "## "), (m.end("above"), b, "")]
         elif form == "heading":
@@ -390,7 +406,7 @@ def _markdown(text: str) -> list[Construct]:
         elif form == "rule":
             c.plain_cost = WEAK
         out.append(c)
-    for m in _INLINE.finditer(text):
+    for m in _INLINE.finditer(text) if any(c in text for c in "*_[<~") else ():
         a, b = m.span()
         form = next(k for k in ("image", "link", "auto", "strong", "under", "em", "uem", "strike") if m.group(k) is not None)
         c = Construct(a, b, MARKDOWN, form, LIKELY)
