@@ -34,9 +34,11 @@ _EMAIL = re.compile(
     rf"|(?P<wat>\s?[\[({{]\s?(?:at|arroba|ät)\s?[\])}}]\s?|\sat\s)(?P<wdomain>{_LABEL}(?:(?:\.|{_DOT_WORD}){_LABEL})*(?:\.|{_DOT_WORD})[A-Za-z]{{2,}})(?![\w@-]|\.\w))",
     re.I,
 )
+#: Without an at sign, an address needs one of these.
+_EMAIL_SIGN = re.compile(r"[\[({]\s?(?:at|arroba|ät)\s?[\])}]|\s(?:dot|punkt|punto|point)\s|&#64;|&commat;|\sat\s[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}", re.I)
 _PHONE = re.compile(
-    r"(?<![\w.+/@-])(?:\+\d{1,3}(?:[ .\-/]?(?:\(\d{1,5}\)|\d{1,5})){1,6}|00\d{2,3}(?:[ .\-/]?(?:\(\d{1,5}\)|\d{1,5})){1,6}|\([2-9]\d{2}\) ?\d{3}[-. ]\d{4}|[2-9]\d{2}(?P<s>[-. ])\d{3}(?P=s)\d{4}|0\d(?P<f>[-. ])\d{2}(?:(?P=f)\d{2}){3}"
-    r"|\(0\d{1,4}\) ?\d{3,8}(?:[ -]\d{2,5}){0,2}|0\d{2,4}[ /\-]\d{3,8}(?:[ \-]\d{2,5}){0,2})(?!\w|[./:\-]\d)"
+    r"[+(0-9](?<![\w.+/@-].)(?:(?<=\+)\d{1,3}(?:[ .\-/]?(?:\(\d{1,5}\)|\d{1,5})){1,6}|(?<=0)0\d{2,3}(?:[ .\-/]?(?:\(\d{1,5}\)|\d{1,5})){1,6}|(?<=\()[2-9]\d{2}\) ?\d{3}[-. ]\d{4}|(?<=[2-9])\d{2}(?P<s>[-. ])\d{3}(?P=s)\d{4}|(?<=0)\d(?P<f>[-. ])\d{2}(?:(?P=f)\d{2}){3}"
+    r"|(?<=\()0\d{1,4}\) ?\d{3,8}(?:[ -]\d{2,5}){0,2}|(?<=0)\d{2,4}[ /\-]\d{3,8}(?:[ \-]\d{2,5}){0,2})(?!\w|[./:\-]\d)"
 )
 #: Words that name the personal numbers of people.
 _NAMED = re.compile(
@@ -44,12 +46,17 @@ _NAMED = re.compile(
     r"|(?:national )?identity (?:card|no|number)|id card|personalausweis|carte d.identit[ée]|codice fiscale|cpf|curp|pesel|bsn|sin|паспорт|снилс|инн)",
     re.I,
 )
+#: One of these is in every text in which _NAMED finds something.
+_NAMED_SIGNS = ("social s", "ssn", "insurance n", "ni n", "nino", "dni", "nie", "nif", "steuer", "idnr", "tax", "tin", "cu", "sociale", "nir", "passport", "reisepass", "pasaporte", "passeport", "identity", "id card", "ausweis", "identit", "fiscale", "cpf", "curp", "pesel", "bsn", "sin", "паспорт", "снилс", "инн")
+_ID_SIGN = re.compile(r"\d{3}-\d{2}-\d{4}|[12] ?\d{2} ?\d{2} ?\d[\dAB] ?\d{3} ?\d{3} ?\d{2}")
 _ID = re.compile(
     r"(?<![\w.+/@-])(?:(?P<ssn>\d{3}-\d{2}-\d{4})|(?P<nir>[12] ?\d{2} ?\d{2} ?(?:\d{2}|2[AB]) ?\d{3} ?\d{3}(?: ?\d{2})?)|\d{3} \d{2} \d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[XYZ]?\d{7,8}-?[A-Z]|\d{2} \d{3} \d{3} \d{3}|\d{3}\.\d{3}\.\d{3}-\d{2}"
     r"|[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]|[A-Z]{1,3}\d[A-Z0-9]{5,7}|\d{9,11})(?!\w|[./@:\-]\w)"
 )
 #: Kinds of streets, by the place of the number.
 _AFTER = r"(?:Street|Lane|Avenue|Boulevard|Road|Drive|Court|Place|Square|Terrace|Parkway|Crescent|Highway|Way|Close|St\.?|Ln\.?|Ave\.?|Blvd\.?|Rd\.?|Dr\.?|Ct\.?|Pl\.?|Sq\.?|Hwy\.?|Pkwy\.?)"
+#: A text without any of these has no address.
+_STREET_SIGN = re.compile(r"str(?:eet|\.|aße|asse)|lane|avenue|boulevard|road|drive|court|place|square|terrace|parkway|crescent|highway|way|close| (?:st|ln|ave|blvd|rd|dr|ct|pl|sq|hwy|pkwy)(?!\w)|rue|av\.|bd |chemin|impasse|quai|all[ée]e|route|cours|weg|platz|gasse|ring|ufer|damm|markt|hof|chaussee|(?:am|an der|im|zum|zur) |calle|avenida|avda|plaza|paseo|camino|carrer|via|piazza|corso|rua|travessa|[а-я]\.|улиц|проспект|переул|площад|шоссе|бульвар|[路街道巷]")
 _CAP = r"[^\W\d_a-zß-ÿа-я][\w'’]*(?:-[\w'’]+)*"
 _ADDRESS = re.compile(
     rf"(?<![\w.+/@-])(?:\d{{1,5}}(?: ?[A-Za-z])? (?:(?:North|South|East|West|N\.|S\.|E\.|W\.|NE|NW|SE|SW) )?(?:{_CAP} ){{1,3}}{_AFTER}(?!\w)|\d{{1,5}} (?!bis |ter |quater )[a-z]+(?:-[a-z]+)* (?:street|lane|avenue|boulevard|road|drive|court|square|terrace)(?!\w)"
@@ -76,6 +83,7 @@ class Names:
     given: set = field(default_factory=set)
     family: set = field(default_factory=set)
     rare: DataFrame | None = None  # (part, kind) of those that are not in the sets
+    finder: object = None  # made by each worker; False: every word is looked up
 
 
 @dataclass(frozen=True, slots=True)
@@ -96,10 +104,41 @@ def _style(words: list[str]) -> str:
     return "upper" if all(w.isupper() for w in words) else "lower" if all(w.islower() for w in words) else "title" if all(w[0].isupper() for w in words) else ""
 
 
+def _finder(names: Names):
+    """An automaton over all name parts, kept with the names."""
+    if names.finder is None:
+        import ahocorasick
+
+        names.finder = ahocorasick.Automaton()
+        for w in names.given | names.family:
+            names.finder.add_word(w, len(w))
+        names.finder.make_automaton()
+    return names.finder
+
+
+def _name_words(text: str, names: Names) -> Iterator[re.Match]:
+    """The words of a text that hold a name part."""
+    low = text.lower()
+    if names.finder is False or len(low) != len(text) or not (names.given or names.family):
+        yield from _WORD.finditer(text)
+        return
+    last = -1
+    for end, n in _finder(names).iter(low):
+        start = end - n + 1
+        while start > 0 and (low[start - 1].isalpha() or low[start - 1] in "-'’"):
+            start -= 1
+        if start > last:
+            last = start
+            while start < end and not low[start].isalpha():
+                start += 1
+            if m := _WORD.match(text, start):
+                yield m
+
+
 def _persons(text: str, names: Names) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, given, family) of the names in a text."""
     given, family = names.given, names.family
-    for m in _WORD.finditer(text):
+    for m in _name_words(text, names):
         w = m.group()
         if _known(w, given) and (f := _FAMILY.match(text, m.end())):
             other = f.group("name")
@@ -110,7 +149,7 @@ def _persons(text: str, names: Names) -> Iterator[tuple[int, int, str, str]]:
             other = g.group("name")
             if _known(other, given) and _style([w, other]):
                 yield m.start(), g.end(), other, w
-    for m in _SLAVIC.finditer(text):
+    for m in _SLAVIC.finditer(text) if not text.isascii() else ():
         yield m.start(), m.end(), m.group("given"), m.group("family")
 
 
@@ -148,15 +187,16 @@ def entities(text: str | None, names: Names) -> list[Entity]:
         hits.clear()
 
     hits: list[tuple[int, int, str, str]] = []
-    if "@" in text or "＠" in text or re.search(r"[\s\[({](?:at|arroba|ät)[\s\])}]|&#64;|&commat;", text, re.I):
+    if "@" in text or "＠" in text or _EMAIL_SIGN.search(text):
         for m in _EMAIL.finditer(text):
             domain = re.sub(_DOT_WORD, ".", m.group("domain") or m.group("wdomain"), flags=re.I).replace("．", ".")
             take(*m.span(), EMAIL, f"{m.group('local')}@{domain}".casefold())
         settle()
-    if any(c.isdigit() for c in text):
-        cues = [m.span() for m in _NAMED.finditer(text)]
+    if re.search(r"\d", text):
+        low = text.lower()
+        cues = [m.span() for m in _NAMED.finditer(text)] if any(c in low for c in _NAMED_SIGNS) else []
         k = 0
-        for m in _ID.finditer(text):
+        for m in _ID.finditer(text) if cues or _ID_SIGN.search(text) else ():
             a, b = m.span()
             while k < len(cues) and cues[k][1] < a - 60:
                 k += 1
@@ -168,7 +208,7 @@ def entities(text: str | None, names: Names) -> list[Entity]:
             if _valid_phone(m.group()):
                 take(*m.span(), PHONE, re.sub(r"^00", "+", re.sub(r"[^0-9+]", "", m.group().replace("(0)", ""))))
         settle()
-        for m in _ADDRESS.finditer(text):
+        for m in _ADDRESS.finditer(text) if _STREET_SIGN.search(low) else ():
             take(*m.span(), ADDRESS, re.sub(r"[\s,.]+", " ", m.group()).strip().casefold())
         settle()
     for a, b, given, family in _persons(text, names):
@@ -230,7 +270,7 @@ def _own(names: Names, rare: list | None) -> Names:
     """The names with a text's rare ones."""
     if not rare:
         return names
-    return Names(names.given | {r["part"] for r in rare if r["kind"] == "given"}, names.family | {r["part"] for r in rare if r["kind"] == "family"})
+    return Names(names.given | {r["part"] for r in rare if r["kind"] == "given"}, names.family | {r["part"] for r in rare if r["kind"] == "family"}, finder=False)
 
 
 def mentions(df: DataFrame, key: str, text: str, names: Names) -> DataFrame:
