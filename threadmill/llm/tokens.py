@@ -46,6 +46,31 @@ SELECT w, list(tok ORDER BY pos) AS ids
 FROM (SELECT w, pos, tok, it, max(it) OVER (PARTITION BY w) AS last FROM step) WHERE it = last GROUP BY w ORDER BY w
 """
 
+#: Words of more bytes than LONG contract every pair whose rank is least as far as a later merge can reach, not only
+#: the least of the whole word: a token grows towards a pair only by taking in all between, and none is longer than
+#: the longest of the vocabulary. So the number of steps does not grow with the length. ROUNDS steps make one query,
+#: which keeps the rows of all its steps.
+LONG, ROUNDS = 200, 12
+_LONG = """
+WITH RECURSIVE step AS (
+  SELECT w, pos, tok, 0::INTEGER AS it, true AS live FROM start
+  UNION ALL
+  SELECT w, pos, new_tok, it + 1, live FROM (
+    SELECT w, pos, it, CASE WHEN taken THEN new ELSE tok END AS new_tok, lag(taken) OVER (PARTITION BY w ORDER BY pos) AS dropped, live
+    FROM (
+      SELECT *, rank IS NOT NULL AND max(bad) OVER (PARTITION BY w, run ORDER BY pos ROWS UNBOUNDED PRECEDING) = 0 AND row_number() OVER (PARTITION BY w, run ORDER BY pos) % 2 = 1 AS taken
+      FROM (
+        SELECT *, CASE WHEN rank > near THEN 1 ELSE 0 END AS bad, sum(CASE WHEN rank IS NOT DISTINCT FROM before THEN 0 ELSE 1 END) OVER (PARTITION BY w ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run
+        FROM (
+          SELECT p.*, m.rank, m.new, min(m.rank) OVER (PARTITION BY p.w ORDER BY p.pos RANGE BETWEEN {reach} PRECEDING AND {three} FOLLOWING) AS near,
+            lag(m.rank) OVER (PARTITION BY p.w ORDER BY p.pos) AS before, min(m.rank) OVER (PARTITION BY p.w) IS NOT NULL AS live
+          FROM (SELECT w, pos, tok, it, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS after FROM step WHERE live) p
+          LEFT JOIN merges m ON m.a = p.tok AND m.b = p.after))))
+  WHERE coalesce(dropped, false) = false AND it < {rounds}
+)
+SELECT w, pos, tok, live FROM (SELECT *, max(it) OVER (PARTITION BY w) AS last FROM step) WHERE it = last ORDER BY w, pos
+"""
+
 
 def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in the vocabulary file: printable Latin-1 as it is, the rest from U+0100 on."""
@@ -65,6 +90,9 @@ class BytePair:
         vocab = model["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.known: dict[str, list[int]] = {}
+        plain = regex.compile("[A-Za-z\u0120]+")
+        self.reach = max((len(a + b) for a, b in pairs), default=1)
+        self.plain_reach = max((len(a + b) for a, b in pairs if plain.fullmatch(a + b)), default=1)
         self.words = regex.compile(WORDS)
         self.of_byte = np.array([vocab[c] for _, c in sorted(byte_letters().items())], dtype=np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
@@ -72,15 +100,33 @@ class BytePair:
         self.db.register("arrow_merges", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM arrow_merges")
 
-    def contract(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word."""
-        if not words:
-            return []
+    def contract_long(self, words: list[bytes], reach: int) -> list[list[int]]:
+        """The ids of long words, in queries of a bounded number of steps."""
+        out: list[list[int]] = [[] for _ in words]
+        rows = self._start(words)
+        while rows.num_rows:
+            self.db.register("start", rows)
+            got = self.db.sql(_LONG.format(reach=reach, three=3 * reach, rounds=ROUNDS)).to_arrow_table()
+            self.db.unregister("start")
+            live = got.column("live").to_numpy(zero_copy_only=False)
+            w, tok = got.column("w").to_numpy()[~live], got.column("tok").to_numpy()[~live]
+            for k in np.unique(w):
+                out[k] = tok[w == k].tolist()
+            rows = got.filter(pa.array(live)).select(["w", "pos", "tok"])
+        return out
+
+    def _start(self, words: list[bytes]) -> pa.Table:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         data = np.frombuffer(b"".join(words), np.uint8)
         w = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         pos = (np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-        self.db.register("start", pa.table({"w": w, "pos": pos, "tok": self.of_byte[data]}))
+        return pa.table({"w": w, "pos": pos, "tok": self.of_byte[data]})
+
+    def contract(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each word."""
+        if not words:
+            return []
+        self.db.register("start", self._start(words))
         out = self.db.sql(_RECURSIVE).to_arrow_table()
         self.db.unregister("start")
         return out.column("ids").to_pylist()
@@ -93,11 +139,17 @@ class BytePair:
             found = self.words.findall(text) if text else []
             counts.append(len(found))
             places.extend([numbers.setdefault(x, len(numbers)) for x in found])
-        new = sorted((x for x in numbers if x not in self.known), key=len)  # long words share a query with their like
+        new = [x for x in numbers if x not in self.known]
         got = dict(self.known) if len(self.known) + len(new) > REMEMBERED else self.known
-        for at in range(0, len(new), BATCH_WORDS):
-            some = new[at : at + BATCH_WORDS]
-            got.update(zip(some, self.contract([x.encode("utf-8", "surrogatepass") for x in some])))
+        raw = [x.encode("utf-8", "surrogatepass") for x in new]
+        short = sum(len(x) <= LONG for x in raw)
+        order = sorted(range(len(new)), key=lambda i: len(raw[i]))
+        for at in range(0, short, BATCH_WORDS):
+            some = order[at : min(at + BATCH_WORDS, short)]
+            got.update(zip([new[i] for i in some], self.contract([raw[i] for i in some])))
+        for i in order[short:]:
+            letters = raw[i].strip(b" ").isalpha() and raw[i].isascii()
+            got[new[i]] = self.contract_long([raw[i]], self.plain_reach if letters else self.reach)[0]
         if got is not self.known:
             self.known = {}
         flat = [got[x] for x in numbers]
