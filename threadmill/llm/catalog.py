@@ -11,7 +11,7 @@ def p3_found(spark, folder):
 
 
 def p4_found(spark, folder):
-    messages = conversations.transcript_messages(table(spark, folder, "transcript_lines"))
+    messages = conversations.transcript_messages(table(spark, folder, "transcript_lines"), with_text=False)
     return conversations.verdicts(messages).where("dropped").select(F.col("conversation").alias("session_id"))
 
 
