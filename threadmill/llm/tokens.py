@@ -50,7 +50,9 @@ FROM (SELECT w, pos, tok, it, max(it) OVER (PARTITION BY w) AS last FROM step) W
 #: the least of the whole word: a token grows towards a pair only by taking in all between, and none is longer than
 #: the longest of the vocabulary. So the number of steps does not grow with the length. ROUNDS steps make one query,
 #: which keeps the rows of all its steps.
-LONG, ROUNDS = 200, 12
+LONG, ROUNDS = 400, 12
+#: Bytes of long words that share a query, unless one alone has more.
+LONG_BYTES = 100_000
 _LONG = """
 WITH RECURSIVE step AS (
   SELECT w, pos, tok, 0::INTEGER AS it, true AS live FROM start
@@ -110,8 +112,9 @@ class BytePair:
             self.db.unregister("start")
             live = got.column("live").to_numpy(zero_copy_only=False)
             w, tok = got.column("w").to_numpy()[~live], got.column("tok").to_numpy()[~live]
-            for k in np.unique(w):
-                out[k] = tok[w == k].tolist()
+            first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]]) if len(w) else np.zeros(0, np.int64)
+            for k, ids in zip(w[first], np.split(tok, first[1:])):
+                out[k] = ids.tolist()
             rows = got.filter(pa.array(live)).select(["w", "pos", "tok"])
         return out
 
@@ -147,9 +150,15 @@ class BytePair:
         for at in range(0, short, BATCH_WORDS):
             some = order[at : min(at + BATCH_WORDS, short)]
             got.update(zip([new[i] for i in some], self.contract([raw[i] for i in some])))
-        for i in order[short:]:
-            letters = raw[i].strip(b" ").isalpha() and raw[i].isascii()
-            got[new[i]] = self.contract_long([raw[i]], self.plain_reach if letters else self.reach)[0]
+        for plain in (True, False):
+            some, size = [], 0
+            for i in [*(i for i in order[short:] if (raw[i].isascii() and raw[i].strip(b" ").isalpha()) == plain), None]:
+                if some and (i is None or size + len(raw[i]) > LONG_BYTES):
+                    got.update(zip([new[k] for k in some], self.contract_long([raw[k] for k in some], self.plain_reach if plain else self.reach)))
+                    some, size = [], 0
+                if i is not None:
+                    some.append(i)
+                    size += len(raw[i])
         if got is not self.known:
             self.known = {}
         flat = [got[x] for x in numbers]
