@@ -89,7 +89,7 @@ _OF_SCRIPT = {k for k, _, _ in _SCRIPTS}.union(*_SAME_SCRIPT.values())
 def language(text: str, label: str | None) -> str:
     """The language by script and, in Latin script, by function words of four languages; the label decides between languages that these can't tell apart."""
     if text.isascii():
-        words = _ASCII_WORD.findall(text.lower())
+        words = text.lower().split()  # function words rarely have marks beside them
         score: dict = {}
         for w, n in Counter(filter(_LANGUAGES.__contains__, words)).items():
             for k in _LANGUAGES[w]:
@@ -176,13 +176,13 @@ def count(text: str, lang: str, tallies: Counter, words: Counter) -> None:
             continue
         words.update(tokens)
         _first_word(tokens, 0, lang, tallies)  # a paragraph's first word opens a sentence
-        for i, token in enumerate(tokens):
-            last = token[-1]
-            if last == ".":
+        for i in [i for i, token in enumerate(tokens) if token[-1] in ".!?؟।"]:
+            token = tokens[i]
+            if token[-1] == ".":
                 if token[-2:] != ".." and i + 1 < len(tokens):
                     nxt = tokens[i + 1]
                     tallies[lang, "pair", before_period(token[:-1]), f"{kind_of(nxt)} {bare(nxt)}"] += 1
-            elif last in "!?؟।" and token.lstrip(_LEAD):
+            elif token.lstrip(_LEAD):
                 _first_word(tokens, i + 1, lang, tallies)
     if lang in ("zh", "ja", "ko", "th", "lo"):
         for what, pattern in (("opens", _BOUNDARY), ("follows", _DOTTED)):
@@ -272,10 +272,10 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", most: int = BRO
     ratio = F.col("first") / F.col("total")
     both = both.withColumn("llr", llr(F.col("first"), F.col("total"), F.col("all_start") - F.col("first"), F.col("all_word") - F.col("total")))
     role = F.when((F.col("first") >= 2) & (ratio >= 0.1) & (F.col("llr") > SIGNIFICANT), "starter").when((F.col("total") >= 5) & (ratio < 0.02), "other")
-    roles = both.withColumn("role", role).where("role is not null").select("lang", "x", "role", "total")
+    roles = cut(both.withColumn("role", role).where("role is not null").select("lang", "x", "role", "total"))
 
     pairs = counts.where("what = 'pair'").select("lang", "w", F.substring_index("x", " ", 1).alias("kind"), F.expr("substring(x, instr(x, ' ') + 1)").alias("x"), "n")
-    pairs = pairs.join(roles.drop("total"), ["lang", "x"], "left")
+    pairs = cut(pairs.join(roles.drop("total"), ["lang", "x"], "left"))
     goes_on = (F.col("kind") == "num") | ((F.col("kind") == "low") & ~F.col("role").eqNullSafe("starter")) | F.col("role").eqNullSafe("other")
     per = pairs.groupBy("lang", "w").agg(F.sum("n").alias("n"), F.sum(F.when(goes_on, F.col("n")).otherwise(0)).alias("on"), F.sum(F.when(F.col("kind") == "num", F.col("n")).otherwise(0)).alias("num"))
     totals = per.groupBy("lang").agg(F.sum("n").alias("all_n"), F.sum("on").alias("all_on"), F.sum("num").alias("all_num"))
