@@ -1,5 +1,6 @@
 import time
 
+from threadmill.llm import sentences as module
 from threadmill.llm.sentences import Model, found, language, learn, quotations, sentences
 
 SCHEMA = "doc_id bigint, text string, lang string"
@@ -56,3 +57,14 @@ def test_long_paragraphs_take_linear_time():
 def test_quotations_are_the_outermost():
     p = "a (b «c» [d) e] „f“ g"
     assert [p[a : b + 1] for a, b in quotations(p)] == ["(b «c» [d)", "„f“"]
+
+
+def test_the_significance_test_decides(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    tested = learn(df)
+    monkeypatch.setattr(module, "SIGNIFICANT", 1e9)
+    none = learn(df)
+    assert len(tested.starters) > 20 and not none.starters and not none.collocations and not none.before_numbers
+    assert {w for _, w in none.abbreviations} < {w for _, w in tested.abbreviations}
+    rows = lambda model: {tuple(r) for r in found(df, model).collect()}
+    assert len(rows(tested) ^ rows(none)) > 500

@@ -282,8 +282,8 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", most: int = BRO
     per = per.join(F.broadcast(totals), "lang")
     per = per.withColumns({"llr": llr(F.col("on"), F.col("n"), F.col("all_on") - F.col("on"), F.col("all_n") - F.col("n")), "llr_num": llr(F.col("num"), F.col("n"), F.col("all_num") - F.col("num"), F.col("all_n") - F.col("n"))})
     short = (F.length("w") == 1) | F.contains("w", F.lit("."))
-    abbreviations = per.where((F.col("w") != "##") & (F.col("w") != "#.#") & (F.col("on") / F.col("n") >= 0.5) & ((F.col("llr") > SIGNIFICANT) | short | (F.col("n") == F.col("on")) & (F.col("n") >= 2)))
-    numbers = per.where((F.col("num") / F.col("n") >= 0.5) & ((F.col("llr_num") > SIGNIFICANT) | (F.col("n") == F.col("num")) & (F.col("n") >= 2)))
+    abbreviations = per.where((F.col("w") != "##") & (F.col("w") != "#.#") & (F.col("on") / F.col("n") >= 0.5) & ((F.col("llr") > SIGNIFICANT) | short))
+    numbers = per.where((F.col("num") / F.col("n") >= 0.5) & (F.col("llr_num") > SIGNIFICANT))
 
     follow = pairs.groupBy("lang", "x").agg(F.sum("n").alias("n_x"))
     joint = pairs.where("role = 'other'").groupBy("lang", "w", "x").agg(F.sum("n").alias("k")).join(per.select("lang", "w", "n", "all_n"), ["lang", "w"]).join(follow, ["lang", "x"])
@@ -452,8 +452,8 @@ def _ends(p: str, start: int, a: int, b: int, end: int, run: str, lang: str, mod
         if kind == "low" and not _CJK.match(p[a - 1 : a]):
             return False
         if _CJK.match(p[a - 1 : a]):  # the sentence may stand in a text of another language
-            lang = "ja" if _KANA.search(p, max(0, a - 30), end + 30) else "zh"
-        return (lang, token[:2]) not in model.continued
+            lang = "ja" if _KANA.search(p, max(0, a - 30), a) else "zh"
+        return not _CJK.match(token) or (lang, token[:2]) not in model.continued  # a name from elsewhere may open any sentence
     if wide or run[0] in "۔;։":
         return True
     # a period
