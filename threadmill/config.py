@@ -5,7 +5,6 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Settings:
-    dim: int = 768
     rrf_k: int = 60
     recency_weight: float = 0.3
     overfetch: int = 3

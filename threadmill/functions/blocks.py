@@ -15,16 +15,11 @@ def with_block(df: DataFrame, order: str, width: int) -> DataFrame:
     return df.withColumn(BLOCK, F.floor(F.coalesce(F.col(order), F.lit(0)) / F.lit(width)).cast("bigint"))
 
 
-def _same(df: DataFrame, other: DataFrame, on: list[str]) -> list[Column]:
-    return [df[c].eqNullSafe(other[c]) for c in on]
-
-
-def carry_forward(df: DataFrame, keys: list[str], order: str, values: dict[str, Column], width: int) -> DataFrame:
-    """WN1: for each name, the last non-null value up to and including the row. Rows of equal order count together."""
-    return _scan(df, keys, order, values, {}, width)
-
+def scan(df: DataFrame, keys: list[str], order: str, last: dict[str, Column], running: dict[str, Column], width: int) -> DataFrame:
+    """WN1: for each name of ``last`` the last non-null value up to and including the row, for each of ``running`` the sum so far.
 
-def _scan(df: DataFrame, keys: list[str], order: str, last: dict[str, Column], running: dict[str, Column], width: int) -> DataFrame:
+    Rows of equal order count together.
+    """
     inner = Window.partitionBy(*keys, BLOCK).orderBy(order)
     local = with_block(df, order, width)
     local = local.withColumns({f"__v_{n}": c for n, c in (last | running).items()})
@@ -50,8 +45,3 @@ def _scan(df: DataFrame, keys: list[str], order: str, last: dict[str, Column], r
     joined = local.join(carried, on, "left")
     out = {n: F.coalesce(F.col(f"__l_{n}"), F.col(f"__b_{n}")) for n in last} | {n: F.coalesce(F.col(f"__l_{n}"), F.lit(0)) + F.coalesce(F.col(f"__b_{n}"), F.lit(0)) for n in running}
     return joined.select(*df.columns, *[c.alias(n) for n, c in out.items()])
-
-
-def scan(df: DataFrame, keys: list[str], order: str, last: dict[str, Column], running: dict[str, Column], width: int) -> DataFrame:
-    """Carry the last non-null values and the running sums in one pass."""
-    return _scan(df, keys, order, last, running, width)
