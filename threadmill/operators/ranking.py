@@ -117,7 +117,7 @@ def _in_cluster(scores: DataFrame, steps: int) -> DataFrame:
         long = rows if long is None else long.unionByName(rows)
     values = cut(long.groupBy("query_id", "c", "v").agg(F.count("*").alias("equal")))
     bounds = values.where(~F.isnan("v")).groupBy("query_id", "c").agg(F.percentile_approx("v", [i / BLOCKS for i in range(1, BLOCKS)], 10 * BLOCKS).alias("bounds"))
-    values = values.join(F.broadcast(bounds), ["query_id", "c"], "left")  # BLOCKS numbers for each of the queries of over IN_TASK rows
+    values = values.join(bounds, ["query_id", "c"], "left")
     block = F.when(F.isnan("v"), BLOCKS + 1).otherwise(F.size(F.filter("bounds", lambda b: b < F.col("v"))))
     values = cut(values.select("query_id", "c", "v", "equal", block.alias("block")))
 
@@ -130,7 +130,7 @@ def _in_cluster(scores: DataFrame, steps: int) -> DataFrame:
         return rows.withColumn("own", F.coalesce(F.sum(number).over(inner), F.lit(0))).join(blocks, ["query_id", "c", "block"]).withColumn("sum", F.col("own") + F.col("carry")).drop("own", "carry")
 
     sizes = scores.groupBy("query_id").agg(F.count("*").alias("size"))
-    values = cut(before(values, "equal").withColumnRenamed("sum", "better").join(F.broadcast(sizes), "query_id"))
+    values = cut(before(values, "equal").withColumnRenamed("sum", "better").join(sizes, "query_id"))
     items = cut(long.join(values, ["query_id", "c", "v"]).select("query_id", "doc_id", "c", "v", "block", "better", "equal", "size"))
     pi = items.where(F.col("c") == CRITERIA[0]).select("query_id", "doc_id", (1 / F.col("size")).alias("pi"))
     for _ in range(steps):
