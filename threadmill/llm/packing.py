@@ -9,7 +9,7 @@ Rows are spread over shards of a bounded size, whatever their source. Each shard
 texts of its badly filled last windows and its deficits; these meet in ever fewer shards until one is left.
 """
 
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +20,8 @@ from threadmill.session import cut
 
 #: Texts of a shard, shards that meet in one of the next round, and the share of a window below which it is handed on.
 SHARD, FAN, FULL = 50_000, 32, 0.98
+#: Models that are packed for at once; their table is broadcast.
+MOST_MODELS = 1000
 _ITEM = "model_key string, capacity int, shard bigint, kind string, source string, row bigint, token_start bigint, size bigint, share double"
 _OUT = "model_key string, capacity int, shard bigint, kind string, source string, row bigint, token_start bigint, size bigint, window bigint, position int, deficit double"
 
@@ -44,9 +46,12 @@ def windows(items: dict[str, list[tuple]], shares: dict[str, float], deficits: d
         for s in queues:
             deficits[s] = deficits.get(s, 0.0) + capacity * shares[s] / whole
         room, window = capacity, []
+        behind = sorted((-deficits[s], s) for s in queues)
         while room:
             served = False
-            for s in sorted(queues, key=lambda s: (-deficits[s], s)):
+            for k, (_, s) in enumerate(behind):
+                if deficits[s] < 1:
+                    break  # nothing is due to the rest
                 at = queues[s].most(min(room, deficits[s]))
                 if at >= 0:
                     served = True
@@ -58,9 +63,14 @@ def windows(items: dict[str, list[tuple]], shares: dict[str, float], deficits: d
                 _, _, s, at = max(best)
             size, row, start = queues[s].items.pop(at)
             window.append((size, row, start, s))
+            if not served:
+                k = bisect_left(behind, (-deficits[s], s))
+            del behind[k]
             deficits[s] -= size
             room -= size
-            if not queues[s].items:
+            if queues[s].items:
+                insort(behind, (-deficits[s], s))
+            else:
                 del queues[s]
         if room:
             room = _exchange(window, room, queues, deficits)
@@ -129,6 +139,8 @@ def inputs(sizes: DataFrame, models: DataFrame, shard: int = SHARD, fan: int = F
     source = F.coalesce("source", F.lit("")).alias("source")
     sized = sizes.where("n_tokens > 0").select("row", source, F.col("n_tokens").cast("bigint").alias("n"))
     models = models.where("model_key is not null and max_tokens > 0").select("model_key", F.col("max_tokens").alias("capacity")).distinct()
+    if models.limit(MOST_MODELS + 1).count() > MOST_MODELS:
+        raise ValueError(f"over {MOST_MODELS} models")
     total = sized.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
     per = sized.groupBy("source").agg((F.sum("n") / F.lit(max(total["n"] or 1, 1))).alias("share"))  # a row a source
     if shares is not None:
