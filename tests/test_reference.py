@@ -111,3 +111,11 @@ def test_vector_filters_reach_the_scan(spark):
 def test_turn_scan_reads_only_its_columns(spark):
     plan = catalog.QUERIES["stats_by_type"](spark, FOLDER)._jdf.queryExecution().toString()
     assert F is not None and "PushedFilters: [IsNotNull(doc_id)]" in plan
+
+
+def test_bursts_across_blocks(spark):
+    at = lambda *seconds: [(k, dt.datetime(2026, 1, 1) + dt.timedelta(seconds=x), i) for k in ("a", None) for i, x in enumerate(seconds)]
+    df = spark.createDataFrame([*at(0, 5, 9, 9, 25, 31, 100, 101), ("a", None, 9)], "k string, t timestamp, n int")
+    for width in (7, 1000):
+        got = {(r.k, r.n): r.burst for r in upkeep.bursts(df, ["k"], "t", 10.0, width).collect()}
+        assert got == {(k, i): b for k in ("a", None) for i, b in enumerate([0, 0, 0, 0, 1, 1, 2, 2])} | {("a", 9): 0}

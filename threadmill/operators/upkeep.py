@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadmill.functions import blocks
 from threadmill.functions.text import slug_of
 
 
@@ -88,9 +89,18 @@ def compared(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
     return both.select("source_rows", "target_rows", "source_keys", "target_keys", ((F.col("source_rows") == F.col("target_rows")) & (F.col("source_sum") == F.col("target_sum"))).alias("agree"))
 
 
-def bursts(events: DataFrame, keys: list[str], at: str, gap_seconds: float) -> DataFrame:
-    """SM1, SM2: events with the burst they are in: a pause longer than the gap ends a burst (trailing-edge debounce)."""
-    w = Window.partitionBy(*keys).orderBy(at, *[c for c in events.columns if c not in (*keys, at)])
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    later = F.coalesce(micros - F.lag(micros).over(w) > int(gap_seconds * 1_000_000), F.lit(False))
-    return events.withColumn("burst", F.sum(later.cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+def bursts(events: DataFrame, keys: list[str], at: str, gap_seconds: float, block_seconds: int = 86400) -> DataFrame:
+    """SM1, SM2: events with the burst they are in: a pause longer than the gap ends a burst (trailing-edge debounce).
+
+    Each key is worked on in blocks of time; the last event and the number of bursts before a block are carried over,
+    so a key with a third of all events is spread over many tasks. Events without a time are in burst 0.
+    """
+    width = block_seconds * 1_000_000
+    rows = blocks.with_block(events.withColumn("__us", F.unix_micros(F.col(at).cast("timestamp"))), "__us", width)
+    before = Window.partitionBy(*keys).orderBy(blocks.BLOCK).rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    last = rows.groupBy(*keys, blocks.BLOCK).agg(F.max("__us").alias("__m")).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(blocks.BLOCK).alias("__kb"), F.max("__m").over(before).alias("__last"))
+    on = [rows[k].eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)] + [rows[blocks.BLOCK] == F.col("__kb")]
+    rows = rows.join(last, on)
+    earlier = F.coalesce(F.lag("__us").over(Window.partitionBy(*keys, blocks.BLOCK).orderBy("__us")), "__last")
+    rows = rows.withColumn("__later", F.coalesce(F.col("__us") - earlier > int(gap_seconds * 1_000_000), F.lit(False)).cast("bigint")).select(*events.columns, "__us", "__later")
+    return blocks.scan(rows, keys, "__us", {}, {"burst": F.col("__later")}, width).select(*events.columns, "burst")
