@@ -7,6 +7,7 @@ leftmost first, until no pair of any word is in the table. An ordered aggregatio
 
 import json
 import os
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,12 +137,13 @@ class BytePair:
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         """The ids of each text; a null or empty text has none."""
-        numbers: dict[str, int] = {}
+        numbers: defaultdict[str, int] = defaultdict()
+        numbers.default_factory = numbers.__len__  # a new word gets the next number
         places, counts = [], []
         for text in texts:
             found = self.words.findall(text) if text else []
             counts.append(len(found))
-            places.extend([numbers.setdefault(x, len(numbers)) for x in found])
+            places.extend(map(numbers.__getitem__, found))
         new = [x for x in numbers if x not in self.known]
         got = dict(self.known) if len(self.known) + len(new) > REMEMBERED else self.known
         raw = [x.encode("utf-8", "surrogatepass") for x in new]
