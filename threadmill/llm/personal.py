@@ -56,7 +56,12 @@ _ID = re.compile(
 #: Kinds of streets, by the place of the number.
 _AFTER = r"(?:Street|Lane|Avenue|Boulevard|Road|Drive|Court|Place|Square|Terrace|Parkway|Crescent|Highway|Way|Close|St\.?|Ln\.?|Ave\.?|Blvd\.?|Rd\.?|Dr\.?|Ct\.?|Pl\.?|Sq\.?|Hwy\.?|Pkwy\.?)"
 #: A text without any of these has no address.
-_STREET_SIGN = re.compile(r"str(?:eet|\.|aße|asse)|lane|avenue|boulevard|road|drive|court|place|square|terrace|parkway|crescent|highway|way|close| (?:st|ln|ave|blvd|rd|dr|ct|pl|sq|hwy|pkwy)(?!\w)|rue|av\.|bd |chemin|impasse|quai|all[ée]e|route|cours|weg|platz|gasse|ring|ufer|damm|markt|hof|chaussee|(?:am|an der|im|zum|zur) |calle|avenida|avda|plaza|paseo|camino|carrer|via|piazza|corso|rua|travessa|[а-я]\.|улиц|проспект|переул|площад|шоссе|бульвар|[路街道巷]")
+_STREET_SIGNS = (
+    "street", "str.", "strasse", "lane", "avenue", "boulevard", "road", "drive", "court", "place", "square", "terrace", "parkway", "crescent", "highway", "way", "close", "rue", "av.", "bd ", "chemin", "impasse", "quai", "alle", "route", "cours", "weg", "platz", "gasse",
+    "ring", "ufer", "damm", "markt", "hof", "chaussee", "am ", "an der ", "im ", "zum ", "zur ", "calle", "avenida", "avda", "plaza", "paseo", "camino", "carrer", "via", "piazza", "corso", "rua", "travessa",
+)
+_STREET_SHORT = re.compile(r" (?:st|ln|ave|blvd|rd|dr|ct|pl|sq|hwy|pkwy)(?!\w)")
+_STREET_OTHER = re.compile(r"straße|all[ée]e|[а-я]\.|улиц|проспект|переул|площад|шоссе|бульвар|[路街道巷]")
 _CAP = r"[^\W\d_a-zß-ÿа-я][\w'’]*(?:-[\w'’]+)*"
 _ADDRESS = re.compile(
     rf"(?<![\w.+/@-])(?:\d{{1,5}}(?: ?[A-Za-z])? (?:(?:North|South|East|West|N\.|S\.|E\.|W\.|NE|NW|SE|SW) )?(?:{_CAP} ){{1,3}}{_AFTER}(?!\w)|\d{{1,5}} (?!bis |ter |quater )[a-z]+(?:-[a-z]+)* (?:street|lane|avenue|boulevard|road|drive|court|square|terrace)(?!\w)"
@@ -208,7 +213,7 @@ def entities(text: str | None, names: Names) -> list[Entity]:
             if _valid_phone(m.group()):
                 take(*m.span(), PHONE, re.sub(r"^00", "+", re.sub(r"[^0-9+]", "", m.group().replace("(0)", ""))))
         settle()
-        for m in _ADDRESS.finditer(text) if _STREET_SIGN.search(low) else ():
+        for m in _ADDRESS.finditer(text) if any(x in low for x in _STREET_SIGNS) or _STREET_SHORT.search(low) or not low.isascii() and _STREET_OTHER.search(low) else ():
             take(*m.span(), ADDRESS, re.sub(r"[\s,.]+", " ", m.group()).strip().casefold())
         settle()
     for a, b, given, family in _persons(text, names):
